@@ -66,7 +66,7 @@ def unstash(spark: SparkSession, *frames: DataFrame) -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """Bytes that the plan reads, from its statistics (file sizes); counted where it has none."""
-    n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if n >= 1 << 60:
         n = int(df.agg(F.sum(F.octet_length(F.col(df.columns[-1]).cast("string")))).first()[0] or 0)
     return n

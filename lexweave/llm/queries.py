@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, license_scan, media, mixing, token_counts
+from . import jaccard_join, language_id, license_scan, media, mixing, token_counts
 from .common import read_table
 
 
@@ -18,6 +18,7 @@ def _over_documents(f):
 def queries() -> dict:
     return {
         "op1_license_scan": _over_documents(license_scan.query),
+        "op2_jaccard_join": _over_documents(jaccard_join.query),
         "op3_mix_sources": _over_documents(mixing.query),
         "op6_token_counts": _over_documents(token_counts.query),
         "op8_media_columns": _over_documents(media.query),
