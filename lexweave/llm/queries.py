@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, language_id, license_scan, media, mixing, token_counts
+from . import jaccard_join, language_id, license_scan, media, mixing, suffix_dedup, token_counts
 from .common import read_table
 
 
@@ -21,6 +21,7 @@ def queries() -> dict:
         "op2_jaccard_join": _over_documents(jaccard_join.query),
         "op3_mix_sources": _over_documents(mixing.query),
         "op6_token_counts": _over_documents(token_counts.query),
+        "op7_suffix_dedup": _over_documents(suffix_dedup.query),
         "op8_media_columns": _over_documents(media.query),
         "op10_language_id": _over_documents(language_id.query),
     }
