@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, language_id, license_scan, media, mixing, suffix_dedup, token_counts
+from . import jaccard_join, language_id, license_scan, lm_score, media, mixing, suffix_dedup, token_counts
 from .common import read_table
 
 
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op1_license_scan": _over_documents(license_scan.query),
         "op2_jaccard_join": _over_documents(jaccard_join.query),
         "op3_mix_sources": _over_documents(mixing.query),
+        "op5_lm_score": _over_documents(lm_score.query),
         "op6_token_counts": _over_documents(token_counts.query),
         "op7_suffix_dedup": _over_documents(suffix_dedup.query),
         "op8_media_columns": _over_documents(media.query),
