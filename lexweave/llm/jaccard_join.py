@@ -46,7 +46,7 @@ class Spec:
     hot_share: float = 0.002
     cold_from: int = 88
     small: int = 48
-    block: int = 2048
+    block: int = 1024
     local_hot: int = 4
 
     def linked(self, inter, n1, n2):
@@ -75,7 +75,7 @@ def make_bands(spec: Spec, counts: dict[int, int], limit: int) -> list[Band]:
     return out
 
 
-def allocate(h: int, size: int, n: int, agree: float = 0.35) -> tuple[int, int, int]:
+def allocate(h: int, size: int, n: int, agree: float = 0.05) -> tuple[int, int, int]:
     """Segments m, those with one-deletion neighbourhoods d, and spare budget, at the least expected cost.
 
     agree: the assumed chance that two unrelated sets of that size agree in a shingle of a segment.
@@ -195,7 +195,7 @@ def describe(docs: DataFrame, spec: Spec) -> DataFrame:
 
 
 def index(docs: DataFrame, spec: Spec, bands: list[Band], hot: np.ndarray, buckets: int) -> DataFrame:
-    """Rows (sig, node, n) of all signatures that two or more nodes share."""
+    """Rows (sig, node) of all signatures that two or more nodes share."""
     shared = docs.sparkSession.sparkContext.broadcast(Signer(spec, bands, hot))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,12 +203,12 @@ def index(docs: DataFrame, spec: Spec, bands: list[Band], hot: np.ndarray, bucke
 
         def flush() -> pa.RecordBatch:
             nonlocal salt
-            sig, node, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            sig, node = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((node, sig))
-            sig, node, n = sig[order], node[order], n[order]
+            sig, node = sig[order], node[order]
             new = np.ones(len(sig), bool)
             new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-            sig, node, n = sig[new], node[new], n[new]
+            sig, node = sig[new], node[new]
             first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
             size = np.diff(np.concatenate([first, [len(sig)]]))
             hot_row = np.repeat(size > spec.local_hot, size)
@@ -217,12 +217,12 @@ def index(docs: DataFrame, spec: Spec, bands: list[Band], hot: np.ndarray, bucke
             to_bucket = ~hot_row | ends
             bucket = (sig[to_bucket] >> U64(20)) % U64(buckets)
             by = np.argsort(bucket, kind="stable")
-            rows = np.stack([sig[to_bucket][by].view(np.int64), node[to_bucket][by], n[to_bucket][by]], 1)
+            rows = np.stack([sig[to_bucket][by].view(np.int64), node[to_bucket][by]], 1)
             cut = np.searchsorted(bucket[by], np.arange(buckets + 1, dtype=U64))
             used = np.flatnonzero(np.diff(cut))
             keys, blobs = used.tolist(), [_pack(rows[cut[i] : cut[i + 1]]) for i in used]
             if hot_row.any():
-                more = np.stack([sig[hot_row].view(np.int64), node[hot_row], n[hot_row]], 1)
+                more = np.stack([sig[hot_row].view(np.int64), node[hot_row]], 1)
                 for lo in range(0, len(more), 1 << 16):
                     salt += 1
                     keys.append(buckets + (int(more[lo][1]) + salt) % buckets)
@@ -238,31 +238,31 @@ def index(docs: DataFrame, spec: Spec, bands: list[Band], hot: np.ndarray, bucke
                 _, once = np.unique(fp, return_index=True)
                 for i in once:
                     if at[i + 1] > at[i] and len(sig := signer.of(sets[at[i] : at[i + 1]])):
-                        held.append((sig, np.full(len(sig), fp[i]), np.full(len(sig), at[i + 1] - at[i])))
+                        held.append((sig, np.full(len(sig), fp[i])))
                         held_n += len(sig)
-                if held_n > 1_500_000:
+                if held_n > 800_000:
                     yield flush()
                     held_n = 0
         if held:
             yield flush()
 
     def meet(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [np.frombuffer(x.as_py(), np.int64).reshape(-1, 3) for b in batches for x in b.column("rows")]
+        parts = [np.frombuffer(x.as_py(), np.int64).reshape(-1, 2) for b in batches for x in b.column("rows")]
         rows = np.concatenate(parts)
         if key[0].as_py() < buckets:
             rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
             new = np.ones(len(rows), bool)
-            new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(1)
+            new[1:] = (rows[1:] != rows[:-1]).any(1)
             rows = rows[new]
             first = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
             size = np.diff(np.concatenate([first, [len(rows)]]))
             rows = rows[np.repeat(size > 1, size)]
         for lo in range(0, len(rows), 100_000):
             part = rows[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[:, i])) for i in range(3)], ["sig", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[:, i])) for i in range(2)], ["sig", "node"])
 
     sent = docs.select(utf8("text").alias("b")).mapInArrow(send, "bucket int, rows binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "sig long, node long, n long")
+    return sent.groupBy("bucket").applyInArrow(meet, "sig long, node long")
 
 
 def verify_pairs(pairs: DataFrame, spec: Spec) -> DataFrame:
@@ -297,7 +297,7 @@ def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, spe
     inter = np.zeros((len(left), len(right)), np.float32)
     to_left, to_right = np.full(len(sets), -1), np.full(len(sets), -1)
     to_left[left], to_right[right] = np.arange(len(left)), np.arange(len(right))
-    width = 2048
+    width = 1024
     for lo in range(0, int(col[-1]) + 1 if len(col) else 0, width):
         x, y = np.searchsorted(col, [lo, lo + width])
         c, r = col[x:y] - lo, row[x:y]
@@ -307,20 +307,32 @@ def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, spe
             m[to[r[ok]], c[ok]] = 1
             sides.append(m)
         inter += sides[0] @ sides[1].T
-    got = np.rint(inter).astype(np.int64)
-    i, j = np.nonzero(spec.linked(got, sizes[left][:, None], sizes[right][None, :]))
-    parent, out = list(range(len(sets))), []
-
-    def find(v: int) -> int:
-        while parent[v] != v:
-            parent[v] = parent[parent[v]]
-            v = parent[v]
-        return v
-
-    for a, b in zip(left[i].tolist(), right[j].tolist(), strict=True):
-        if (p := find(a)) != (q := find(b)):
-            parent[max(p, q)] = min(p, q)
-            out.append((a, b))
+    linked = np.zeros(inter.shape, bool)
+    for lo in range(0, len(left), 128):
+        got = np.rint(inter[lo : lo + 128]).astype(np.int64)
+        linked[lo : lo + 128] = spec.linked(got, sizes[left[lo : lo + 128]][:, None], sizes[right][None, :])
+    return forest(linked, left, right, len(sets))
+
+
+def forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """A spanning forest of the graph on n nodes whose edges are the true cells, by breadth first search."""
+    row, col = np.full(n, -1), np.full(n, -1)
+    row[left], col[right] = np.arange(len(left)), np.arange(len(right))
+    fresh, out = np.ones(n, bool), []
+    for root in np.unique(np.concatenate([left, right])).tolist():
+        queue = [root] if fresh[root] else []
+        fresh[root] = False
+        while queue:
+            v = queue.pop()
+            near = np.zeros(0, np.int64)
+            if row[v] >= 0:
+                near = right[linked[row[v]]]
+            if col[v] >= 0:
+                near = np.concatenate([near, left[linked[:, col[v]]]])
+            near = np.unique(near[fresh[near]]).tolist()
+            fresh[near] = False
+            queue += near
+            out += [(v, w) for w in near]
     return out
 
 
@@ -363,8 +375,8 @@ def jaccard_components(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
 
     sizes = cand.groupBy("sig").agg(F.count("*").alias("g"), F.min("node").alias("pivot"))
     sized = cand.join(sizes, "sig")
-    few = sized.filter(F.col("g") <= spec.small).groupBy("sig").agg(F.collect_list(F.struct("node", "n")).alias("x"))  # spec.small at most
-    pairs = stash(few.select("x").mapInArrow(_pairs_of(spec), "a long, b long").distinct(), "pairs")
+    few = sized.filter(F.col("g") <= spec.small).groupBy("sig").agg(F.collect_list("node").alias("x"))  # spec.small at most
+    pairs = stash(few.select("x").mapInArrow(_pairs_of, "a long, b long").distinct(), "pairs")
     stars = stash(sized.filter((F.col("g") > spec.small) & (F.col("node") != F.col("pivot"))).select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct(), "stars")
 
     reps = nodes.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
@@ -392,25 +404,17 @@ def jaccard_components(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
     return nodes.join(final, "node").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "node")
 
 
-def _pairs_of(spec: Spec):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            col = batch.column(0)
-            at = col.offsets.to_numpy()
-            flat = col.values
-            node, n = flat.field("node").to_numpy(), flat.field("n").to_numpy()
-            out = []
-            for g in np.unique(np.diff(at)):
-                first = at[:-1][np.diff(at) == g]
-                i, j = np.triu_indices(int(g), 1)
-                x, y = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
-                ok = (100 * np.minimum(n[x], n[y]) >= spec.percent * np.maximum(n[x], n[y])) & (node[x] != node[y])
-                x, y = x[ok], y[ok]
-                out.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], 1))
-            rows = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in (0, 1)], ["a", "b"])
-
-    return run
+def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at, node = batch.column(0).offsets.to_numpy(), batch.column(0).values.to_numpy()
+        out = [np.zeros((0, 2), np.int64)]
+        for g in np.unique(np.diff(at)):
+            first = at[:-1][np.diff(at) == g]
+            i, j = np.triu_indices(int(g), 1)
+            x, y = node[(first[:, None] + i).ravel()], node[(first[:, None] + j).ravel()]
+            out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y])
+        rows = np.unique(np.concatenate(out), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in (0, 1)], ["a", "b"])
 
 
 def _own_text(texts: DataFrame, spec: Spec) -> DataFrame:

@@ -64,7 +64,7 @@ def binary_parts(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d[o[0] : o[-1]], o - o[0]
 
 
-def slices(offs: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(offs: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about `most` bytes; a longer text has one of its own."""
     lo, n = 0, len(offs) - 1
     while lo < n:
