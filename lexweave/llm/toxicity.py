@@ -3,9 +3,11 @@
 A word is the bytes between two white spaces, A-Z lower-cased, with a space before and after. Its log-likelihood under the toxic and under
 the ordinary model is a sum over n-grams of bytes: interpolated Kneser-Ney, the highest order with counts of the class, all
 lower orders with continuation counts shared by both, so that rare expressions are smoothed alike and an
-n-gram whose context neither class knows says nothing. A word's evidence is the difference of the two log-likelihoods a byte (a
+n-gram whose context neither class knows says nothing. Counts are of documents, not places, and three discounts leave an n-gram of
+one document without own weight, so that no single text makes an expression toxic. A word's evidence is the difference of the two log-likelihoods a byte (a
 length of `least` at least); a text's is that of its strongest word, mapped to a score by a logistic curve that is 0.7 at the threshold
-which separates the labelled texts best, each judged by the model of the other half of the sample.
+where the share of toxic texts found, less three times that of ordinary texts hit, is highest; each labelled text is judged
+by the model of the other half of the sample.
 
 Training takes at most `max_docs` labelled texts of each class, in the order of a digest of their ids; whole texts are read.
 
@@ -80,17 +82,18 @@ def word_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: in
 class KneserNey:
     """Evidence of packed n-grams: log P(toxic model) - log P(ordinary model)."""
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int = 5, discount: float = 0.75):
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int = 5, discounts: tuple[float, ...] = (1.0, 1.5, 2.0)):
         """codes: distinct n-grams; counts: (n, 2) of the ordinary and the toxic class."""
         self.order = order
-        shared = self.lower(codes, counts.sum(1), order, discount)
+        shared = self.lower(codes, counts.sum(1), order, 0.75)
         contexts, inverse = np.unique(codes >> U64(8), return_inverse=True)
         p, weight = [], []
         for c in range(2):
             own = counts[:, c].astype(float)
-            total, kinds = np.bincount(inverse, own, len(contexts)), np.bincount(inverse, own > 0, len(contexts))
-            w = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
-            p.append(np.maximum(own - discount, 0) / np.maximum(total, 1)[inverse] + w[inverse] * shared)
+            off = np.minimum(own, np.array([0.0, *discounts])[np.minimum(own, len(discounts)).astype(int)])
+            total, given = np.bincount(inverse, own, len(contexts)), np.bincount(inverse, off, len(contexts))
+            w = np.where(total > 0, given / np.maximum(total, 1), 1.0)
+            p.append((own - off) / np.maximum(total, 1)[inverse] + w[inverse] * shared)
             weight.append(w)
         self.grams = Table(codes, np.log(p[1] / p[0]).astype(np.float32))
         self.contexts = Table(contexts, np.log(weight[1] / weight[0]).astype(np.float32))
@@ -123,7 +126,7 @@ class KneserNey:
 
 
 class Scorer:
-    def __init__(self, model: KneserNey | None, threshold: float = 0.0, slope: float = 4.0, least: int = 5):
+    def __init__(self, model: KneserNey | None, threshold: float = 0.0, slope: float = 4.0, least: int = 8):
         self.model, self.threshold, self.slope, self.least = model, threshold, slope, least
 
     def strongest(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -170,7 +173,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_docs: int) -> DataFr
 
 
 def gram_counts(sample: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of the sample and their counts (n, half, class)."""
+    """Distinct n-grams of the sample and in how many texts they stand (n, half, class)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -179,10 +182,11 @@ def gram_counts(sample: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray]:
             for lo, hi in slices(offs):
                 part, o = LOWER[data[offs[lo] : offs[hi]]], offs[lo : hi + 1] - offs[lo]
                 starts, ends, at = word_spans(part, o)
-                words = np.repeat(kind[lo:hi], np.diff(at))
+                code, where = word_grams(part, starts, ends, order)
+                text = where[at]
+                once = [np.unique(code[text[d] : text[d + 1]]) for d in range(hi - lo)]
                 for k in range(4):
-                    code, _ = word_grams(part, starts[words == k], ends[words == k], order)
-                    code, n = np.unique(code, return_counts=True)
+                    code, n = np.unique(np.concatenate([np.zeros(0, U64), *(once[d] for d in np.flatnonzero(kind[lo:hi] == k))]), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), k, np.int32)), pa.array(code.view(np.int64)), pa.array(n)], ["kind", "code", "n"])
 
     got = sample.mapInArrow(run, "kind int, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n")).toArrow()
@@ -192,7 +196,7 @@ def gram_counts(sample: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray]:
     return codes, counts.reshape(-1, 2, 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, order: int = 5, least: int = 5) -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, order: int = 5, least: int = 8) -> Scorer:
     spark = docs.sparkSession
     sample = stash(labelled_sample(docs, labels, max_docs), "sample")
     codes, counts = gram_counts(sample, order)
@@ -213,13 +217,13 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, order: int =
 
 
 def best_threshold(x: np.ndarray, y: np.ndarray) -> float:
-    """Where balanced accuracy is highest, in the middle of the gap around it."""
+    """Where true positive rate - 3 * false positive rate is highest, in the middle of the gap around it."""
     order = np.argsort(x, kind="stable")
     x, y = x[order], y[order]
     below = np.concatenate([[0], np.cumsum(y == 0)]) / max(1, (y == 0).sum())
     above = 1 - np.concatenate([[0], np.cumsum(y == 1)]) / max(1, (y == 1).sum())
     edge = np.concatenate([[True], x[1:] > x[:-1], [True]])
-    value = np.where(edge, below + above, -1)
+    value = np.where(edge, 3 * below + above, -1)
     best = np.flatnonzero(value >= value.max() - 1e-12)
     k = int(best[len(best) // 2])
     return float(x[0] - 1 if k == 0 else x[-1] + 1 if k == len(x) else (x[k - 1] + x[k]) / 2)
