@@ -360,7 +360,7 @@ def verify_clusters(members: DataFrame, spec: Spec) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
-    """doc_id, n_shingles, component_id, node of every row of docs(doc_id, text)."""
+    """doc_id, n_shingles, component_id, node (set), group (component) of every row of docs(doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     told = stash(describe(docs, spec), "sets")
@@ -399,9 +399,9 @@ def jaccard_components(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
 
     roots = stash(connected_components(links), "roots")
     named = roots.join(reps, "node").groupBy("root").agg(F.min("rep").alias("component"))
-    final = reps.join(roots, "node", "left").join(named, "root", "left").select("node", F.coalesce("component", "rep").alias("component_id"))
+    final = reps.join(roots, "node", "left").join(named, "root", "left").select("node", F.coalesce("component", "rep").alias("component_id"), F.coalesce("root", "node").alias("group"))
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return nodes.join(final, "node").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "node")
+    return nodes.join(final, "node").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "node", "group")
 
 
 def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,8 +431,3 @@ def _own_text(texts: DataFrame, spec: Spec) -> DataFrame:
 def query(docs: DataFrame) -> DataFrame:
     return jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
 
-
-def dedup(docs: DataFrame, spec: Spec = Spec(k=5, percent=80)) -> DataFrame:
-    """One document of each group stays: the one of the smallest id, of equal ids one row; rows of null id stay if nothing else represents them."""
-    c = jaccard_components(docs, spec).filter("n_shingles = 0 OR doc_id = component_id").select("doc_id").distinct()
-    return docs.join(c, "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL"))

@@ -43,10 +43,16 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_
     return t.select("source", "source_size", "weight", F.least(F.col("cap"), F.coalesce(final * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words, repeats counted) of every row of docs(doc_id, text, source)."""
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken (words, repeats counted) of every row of docs(doc_id, text, source).
+
+    carry: further columns of docs that the rows keep, in column `row`.
+    """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    sizes = stash(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "sizes")
+    sizes = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *([F.struct(*carry).alias("row")] if carry else []))
+    if not carry:
+        sizes = stash(sizes, "sizes")
+    row = ["row"] if carry else []
     d = sizes.withColumn("u", digest)
     d = d.withColumn("part", F.substring("u", 1, 3))
     parts = stash(d.groupBy("source", "part").agg(F.sum("size").alias("part_size")), "parts")
@@ -60,14 +66,21 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epoch
         F.col("p.source").alias("source"), "part", (F.col("upto") - F.col("part_size")).alias("start"), "upto", "source_size", "target", "reps", "rest"
     )
     d = d.alias("d").join(plan.alias("q"), F.expr("d.source <=> q.source AND d.part = q.part"))
-    d = d.select("d.doc_id", "d.source", "size", "u", "d.part", "start", "upto", "source_size", "target", "reps", "rest")
+    d = d.select("d.doc_id", "d.source", "size", *row, "u", "d.part", "start", "upto", "source_size", "target", "reps", "rest")
     cut = (F.col("start") < F.col("rest")) & (F.col("rest") < F.col("upto"))
     clear = d.filter(~cut).withColumn("extra", F.when(F.col("upto") <= F.col("rest"), F.col("size")).otherwise(F.lit(0)))
     within = W.partitionBy("source", "part").orderBy("u", "size").rowsBetween(W.unboundedPreceding, -1)
     at = F.col("start") + F.coalesce(F.sum("size").over(within), F.lit(0))
     split = d.filter(cut).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - at)))
     taken = (F.col("reps") * F.col("size") + F.col("extra")).cast("long")
-    return clear.unionByName(split).select("doc_id", "source", F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", taken.alias("taken"))
+    return clear.unionByName(split).select("doc_id", "source", F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", taken.alias("taken"), *row)
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix") -> DataFrame:
+    """The documents that the mix takes, whole, with size, source_size, target and taken."""
+    m = mix_sources(docs, weights, max_epochs, seed, carry=tuple(docs.columns)).filter("taken > 0")
+    new = [c for c in ("size", "source_size", "target", "taken") if c not in docs.columns]
+    return m.select(*[F.col("row")[c].alias(c) for c in docs.columns], *new)
 
 
 def query(docs: DataFrame) -> DataFrame:

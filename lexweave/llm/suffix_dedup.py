@@ -208,6 +208,10 @@ def _remove(cover: Cover, buckets: int, keep: bool):
                 np.add.at(edge, hit, 1)
                 np.add.at(edge, hit + cover.length, -1)
                 gone = np.cumsum(edge)[: len(data)] > 0
+                if keep and len(data):  # of a character, all bytes go or none
+                    lead = np.flatnonzero((data & 0xC0) != 0x80)
+                    lead = lead if len(lead) and lead[0] == 0 else np.concatenate([[0], lead])
+                    gone = np.repeat(np.logical_and.reduceat(gone, lead), np.diff(np.concatenate([lead, [len(data)]])))
                 rows = []
                 for doc, lo, hi in zip(b.column("ids")[i].as_py(), offs[:-1].tolist(), offs[1:].tolist(), strict=True):
                     kept = data[lo:hi][~gone[lo:hi]].tobytes()
@@ -241,5 +245,12 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, length: int = 200) -> DataFrame:
-    """docs without their repeated passages: text is cut at whole characters, n_chars follows where the column is there."""
-    raise NotImplementedError
+    """docs without their repeated passages: whole characters go, n_chars follows where the column is there; every row stays."""
+    rid = "__row_of_text__"
+    rows = stash(docs.withColumn(rid, F.monotonically_increasing_id()), "rows")
+    kept = remove_repeats(rows.select(F.col(rid).alias("doc_id"), "text"), length, keep=True).filter("n_removed > 0").select(F.col("doc_id").alias(rid), F.col("kept").alias("__kept__"))
+    text = F.when(F.col("__kept__").isNull(), F.col("text")).otherwise(F.col("__kept__").cast("string"))
+    out = rows.join(kept, rid, "left").withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__kept__").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
