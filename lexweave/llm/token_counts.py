@@ -7,6 +7,10 @@ before a letter or digit that follows a letter or digit), over which byte-pair m
 what lies after. Where the overlap has none, it is widened twofold, up to the whole text. Text that holds a special
 token's string is encoded whole, as its place decides the cut.
 
+Encoding is the library's of the vocabulary file. Where `ranks` names the same byte-level vocabulary for tiktoken, texts of Latin letters and
+common signs up to `huge` go through that, four times as fast, after both have agreed on a set of probes; in these
+characters the two libraries' classes of letters, digits and spaces are the same.
+
 Defined cases: null is empty and has 0 tokens; special strings inside texts are what the library makes of them by
 default; equal texts have equal counts; an empty table gives no rows; other columns are ignored.
 """
@@ -22,6 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+#: Characters over which both libraries' pre-tokens are the same.
+PLAIN = re.compile("[\x00-\u024f\u2010-\u2027\u20ac]*")
+PROBES = ["", " ", "Word word's  it'll I'VE\n\n x\t\ty", "Ünïcode \u00a0 \u0085\u00b2\u00bd 12345 1,000.00!?...", "a" * 300, " \n \n  b", "€ – — “q” …", "\x00\x01\x7f"]
 STABLE = re.compile(r"(?<=[a-zA-Z]) (?=[a-zA-Z])")
 
 
@@ -41,6 +48,17 @@ def load(path: str):
     return t
 
 
+def load_ranks(path: str, pattern: str):
+    """The vocabulary as tiktoken's encoding, without special tokens."""
+    import base64
+
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 def specials(tokenizer) -> list[str]:
     return [x.content for x in tokenizer.get_added_tokens_decoder().values()]
 
@@ -81,9 +99,13 @@ def count_huge(text: str, encode, chunk: int, overlap: int) -> int:
 
 
 class Counter:
-    def __init__(self, path: str, huge: int = 1 << 17, chunk: int = 1 << 15, overlap: int = 256):
+    def __init__(self, path: str, huge: int = 1 << 17, chunk: int = 1 << 15, overlap: int = 256, ranks: tuple[str, str] | None = None):
+        """ranks: path and split pattern of the same vocabulary for tiktoken."""
         self.tokenizer = load(path)
         self.special = specials(self.tokenizer)
+        self.fast = load_ranks(*ranks) if ranks else None
+        if self.fast and [self.fast.encode_ordinary(p) for p in PROBES] != [self.tokenizer.encode(p, add_special_tokens=False).ids for p in PROBES]:
+            self.fast = None
         self.huge, self.chunk, self.overlap = huge, chunk, overlap
 
     def encode(self, text: str) -> list[tuple[int, int]]:
@@ -92,8 +114,13 @@ class Counter:
     def count(self, texts: list[str]) -> list[int]:
         out, short = [0] * len(texts), []
         for i, t in enumerate(texts):
-            if len(t) <= self.huge or any(s in t for s in self.special):
+            if any(s in t for s in self.special):
                 short.append(i)
+            elif len(t) <= self.huge:
+                if self.fast and PLAIN.fullmatch(t):
+                    out[i] = len(self.fast.encode_ordinary(t))
+                else:
+                    short.append(i)
             else:
                 out[i] = count_huge(t, self.encode, self.chunk, self.overlap)
         for lo in range(0, len(short), 64):
@@ -117,4 +144,6 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 512, **o
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return count_tokens(docs, huge=1 << 15)
+    import public_tokenizers
+
+    return count_tokens(docs, huge=1 << 15, ranks=(tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
