@@ -75,7 +75,7 @@ def make_bands(spec: Spec, counts: dict[int, int], limit: int) -> list[Band]:
     return out
 
 
-def allocate(h: int, size: int, n: int, agree: float = 0.05) -> tuple[int, int, int]:
+def allocate(h: int, size: int, n: int, agree: float = 0.01) -> tuple[int, int, int]:
     """Segments m, those with one-deletion neighbourhoods d, and spare budget, at the least expected cost.
 
     agree: the assumed chance that two unrelated sets of that size agree in a shingle of a segment.
@@ -370,7 +370,7 @@ def jaccard_components(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
     least = max(32, spec.hot_share * sum(counts.values()))
     hot = told.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("node").collect()  # average size / hot_share at most
     hot_set = np.array([r[0] for r in hot], np.int64).view(U64)
-    buckets = max(16, min(20_000, input_bytes(docs) // (6 << 20)))
+    buckets = max(16, min(20_000, input_bytes(docs) // (3 << 20)))
     cand = stash(index(docs, spec, make_bands(spec, counts, limit), hot_set, buckets), "signatures")
 
     sizes = cand.groupBy("sig").agg(F.count("*").alias("g"), F.min("node").alias("pivot"))
