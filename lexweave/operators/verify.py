@@ -33,10 +33,23 @@ PREDICATES: dict[str, Callable] = {
 }
 
 
+#: How many tokens of y may be out of the reach of x's rules, by predicate; others are not limited.
+REACH = {"sequence": 0, "sequence_naive": 0, "sequence_greedy": 0, "set": 0, "set_naive": 0, "set_beam": 0, "set_greedy": 0, "delta": "delta", "delta_naive": "delta"}
+
+
+def _reachable(name: str, parameters: dict):
+    """A condition that any pair of the predicate meets, in the JVM: y has few tokens that no rule of x gives."""
+    if name not in REACH:
+        return F.lit(True)
+    most = REACH[name] if isinstance(REACH[name], int) else parameters[REACH[name]]
+    return F.size(F.filter("y", lambda t: ~F.array_contains("reach", t))) <= most
+
+
 def verify(candidates: DataFrame, left: DataFrame, right: DataFrame, name: str, **parameters) -> DataFrame:
     """The candidates (id1, id2) that satisfy a predicate; left: (id, toks, rules); right: (id, toks[, rules])."""
     test = PREDICATES[name]
-    x = left.select(F.col("id").alias("id1"), F.col("toks").alias("x"), F.col("rules").alias("rx"))
+    reach = F.array_distinct(F.flatten(F.transform("rules", lambda r: r["rhs"]))).alias("reach")
+    x = left.select(F.col("id").alias("id1"), F.col("toks").alias("x"), F.col("rules").alias("rx"), reach)
     ry = F.col("rules") if "rules" in right.columns else F.array().cast("array<struct<start:int,n:int,rhs:array<string>>>")
     y = right.select(F.col("id").alias("id2"), F.col("toks").alias("y"), ry.alias("ry"))
 
@@ -46,4 +59,4 @@ def verify(candidates: DataFrame, left: DataFrame, right: DataFrame, name: str,
             mask = pa.array([bool(test(tuple(xs), _rules(rx), tuple(ys), _rules(ry), parameters)) for xs, rx, ys, ry in rows], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("id1").filter(mask), b.column("id2").filter(mask)], ["id1", "id2"])
 
-    return candidates.join(x, "id1").join(y, "id2").select("id1", "id2", "x", "rx", "y", "ry").mapInArrow(run, "id1 long, id2 long")
+    return candidates.join(x, "id1").join(y, "id2").filter(_reachable(name, parameters)).select("id1", "id2", "x", "rx", "y", "ry").mapInArrow(run, "id1 long, id2 long")
