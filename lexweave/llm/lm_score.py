@@ -108,6 +108,17 @@ class Tokens:
             self.sides.append((unique, inverse, np.bincount(inverse, weights=train, minlength=len(unique)).astype(np.uint32)))
 
 
+def count_words(chunks: DataFrame) -> DataFrame:
+    """(n): each chunk's words and ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [len(word_spans(*unpacked(b, i))[0]) + len(b.column("ids")[i]) for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], ["n"])
+
+    return chunks.select("chunk", "ids", "lens", "data").mapInArrow(run, "n long")
+
+
 def count(chunks: DataFrame, buckets: int, modulus: int, held: int) -> DataFrame:
     edges = np.array([(1 << 64) * i // buckets for i in range(1, buckets)], U64)
 
@@ -196,17 +207,17 @@ def score_chunks(chunks: DataFrame, f: Filter, whole, n: int, v: int, seen: floa
     return chunks.mapInArrow(run, SCHEMA)
 
 
-def score_texts(docs: DataFrame, modulus: int = 5, held: int = 1, max_filter_bytes: int = 256 << 20, chunk_bytes: int = 4 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, modulus: int = 5, held: int = 1, max_filter_bytes: int = 256 << 20, chunk_bytes: int = 2 << 20) -> DataFrame:
     """The columns above for every row of docs(doc_id, text)."""
     spark = docs.sparkSession
     size = input_bytes(docs.select("text"))
     f = Filter(int(max(8, min(50_000, size // (4 << 20)))))
     with conf_set(spark, **{"spark.sql.parquet.compression.codec": "zstd"}):
         chunks = stash(pack(docs, chunk_bytes), "chunks")
-        tokens = chunks.select(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + F.floor((x + 3) / 2)))).first()[0] or 0  # a word has a byte and a space
-        bound = 2 * tokens * f.bits_per_entry // 8
-        broadcast = bound <= max_filter_bytes
         with conf_set(spark, **{"spark.sql.execution.arrow.maxRecordsPerBatch": "4"}):
+            tokens = count_words(chunks).agg(F.sum("n")).first()[0] or 0
+            bound = 2 * tokens * f.bits_per_entry // 8
+            broadcast = bound <= max_filter_bytes
             told = stash(gather(count(chunks, f.buckets, modulus, held), f, not broadcast), "counts")
             stats = {r["tag"]: r for r in told.filter("kind = 2").groupBy(F.floor(F.col("bucket") / f.buckets).alias("tag")).agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("z").alias("z")).collect()}
             n, v = (int(stats[0]["y"]), int(stats[0]["x"])) if 0 in stats else (0, 0)
