@@ -7,6 +7,9 @@ with the length filter in the join's condition, and are made distinct before the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -94,27 +97,30 @@ def searchable_profiled(s: DataFrame, most: int) -> DataFrame:
     return s.filter(F.col("transforms") <= most)
 
 
-def least_token_signatures(s: DataFrame, counts: DataFrame, most: int = MOST_TRANSFORMS) -> DataFrame:
-    """(id1, token): the tokens that are the rarest of some rewriting. Ranks come with each record's own tokens."""
-    import pyarrow as pa
-
+def prefix_signatures(s: DataFrame, counts: DataFrame, size: int = 1, most: int = MOST_TRANSFORMS) -> DataFrame:
+    """(id1, token): the tokens that are among the `size` rarest of some rewriting. Ranks come with each record's own tokens."""
     used = searchable(s, most).select("id", F.explode(F.array_distinct(F.flatten(F.transform("rules", lambda r: r["rhs"])))).alias("token"))
     keys = used.join(counts, "token", "left").groupBy("id").agg(F.collect_list(F.struct(orders.frequency_key(F.col("n"), F.col("token")).alias("key"), "token")).alias("keys"))
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, found = [], []
             for i, toks, rules, known in zip(*(b.column(c).to_pylist() for c in ("id", "toks", "rules", "keys")), strict=True):
                 order = [x["token"] for x in sorted(known, key=lambda x: x["key"])]
-                rank = {t: k for k, t in enumerate(order)}
-                low = R.least_tokens(len(toks), [(r["start"], r["n"], tuple(r["rhs"])) for r in rules], rank.__getitem__)
-                ids += [i] * len(low)
-                found += [order[k] if k < len(order) else "" for k in sorted(low)]
+                rank = {t: k for k, t in enumerate(order)}.__getitem__
+                own = [(r["start"], r["n"], tuple(r["rhs"])) for r in rules]
+                got = [order[k] for k in sorted(R.least_tokens(len(toks), own, rank)) if k < len(order)] if size == 1 else [t for t in order if R.in_prefix(len(toks), own, rank, t, size)]
+                ids += [i] * len(got)
+                found += got
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], ["id1", "token"])
 
     return s.join(keys, "id").select("id", "toks", "rules", "keys").mapInArrow(run, "id1 long, token string")
 
 
+def least_token_signatures(s: DataFrame, counts: DataFrame, most: int = MOST_TRANSFORMS) -> DataFrame:
+    return prefix_signatures(s, counts, 1, most)
+
+
 def signature(s: DataFrame, t: DataFrame, check: str = "sequence", set_filter: bool = False, use_lf: bool = True, most: int = MOST_TRANSFORMS, **parameters) -> DataFrame:
     """The rarest token of t is the rarest of some rewriting of s."""
     counts = orders.rhs_counts(s)

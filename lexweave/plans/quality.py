@@ -61,5 +61,8 @@ def gram_superset(m: DataFrame, q: int) -> DataFrame:
     """One row: positional grams of the rewritings, of the superset, and those of the superset that no rewriting has."""
     exact, wide = qgrams.tpq(m, q), qgrams.stpq(m, q)
     false = wide.join(exact, ["id", "pos", "gram"], "left_anti")
-    parts = [d.agg(F.count("*").alias(n)) for d, n in ((exact, "tpq"), (wide, "stpq"), (false, "false_grams"))]
-    return parts[0].crossJoin(parts[1]).crossJoin(parts[2])  # single rows
+    counts = None
+    for d, n in ((exact, "tpq"), (wide, "stpq"), (false, "false_grams")):
+        c = d.agg(F.count("*").alias("n")).select(F.lit(n).alias("what"), "n")
+        counts = c if counts is None else counts.unionByName(c)
+    return counts.agg(*(F.max(F.when(F.col("what") == n, F.col("n"))).alias(n) for n in ("tpq", "stpq", "false_grams")))

@@ -13,7 +13,14 @@ def dataset(records: DataFrame) -> DataFrame:
     """One row: records, tokens, average, greatest and distinct numbers."""
     n = F.size("toks")
     own = records.agg(F.count("*").alias("records"), F.sum(n).alias("tokens"), F.avg(n).alias("avg_len"), F.max(n).cast("long").alias("max_len"))
-    return own.crossJoin(records.select(F.explode("toks").alias("t")).agg(F.count_distinct("t").alias("distinct_tokens")))  # single rows
+    kinds = records.select(F.explode("toks").alias("t")).agg(F.count_distinct("t").alias("distinct_tokens"))
+    both = own.unionByName(kinds, allowMissingColumns=True)
+    return both.agg(*(F.max(c).alias(c) for c in both.columns))
+
+
+def metadata(name: str, records: DataFrame, rules: DataFrame) -> dict:
+    """Name and sizes of a dataset and its rules, for statistics files."""
+    return {"Name": name, "Rules": rules.select("lhs", "rhs").distinct().count(), **dataset(records).first().asDict()}
 
 
 def characteristics(p: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import arrays
 from .operators import joins, orders, qgrams, rewrite
 from .operators.verify import verify
-from .plans import generate, planner, quality, registry, statistics
+from .plans import generate, planner, quality, registry, statistics, sweep
 from .plans.spec import JoinSpec, Params
 from .sources import sinks, text
 
@@ -225,6 +225,7 @@ PLACED = "placed AS (SELECT id, token, row_number() OVER (PARTITION BY id ORDER
 add("rarest_tokens", lambda spark, d: orders.rarest(records(spark, d), orders.rhs_counts(matched(spark, d)), 2).select("id", "token", "place"), sql(f", {PLACED} SELECT id, token, place FROM placed WHERE place <= 2"))
 add("prefix_signature", lambda spark, d: orders.rarest(records(spark, d), orders.rhs_counts(matched(spark, d)), orders.prefix_size(0.5)).select("id", "token", "place"), sql(f", {PLACED} SELECT id, token, place FROM placed WHERE place <= floor(0.5 * n_set) + 1"))
 add("sig_membership", lambda spark, d: joins.least_token_signatures(matched(spark, d), orders.rhs_counts(matched(spark, d))).select(F.col("id1").alias("id"), "token"), sql("SELECT DISTINCT id, token FROM (SELECT id, made, token, row_number() OVER (PARTITION BY id, made ORDER BY rank) AS k FROM (SELECT id, made, unnest(made) AS token FROM e) JOIN rank USING (token)) WHERE k = 1"))
+add("sig_prefix", lambda spark, d: joins.prefix_signatures(matched(spark, d), orders.rhs_counts(matched(spark, d)), 2).select(F.col("id1").alias("id"), "token"), sql("SELECT DISTINCT id, token FROM (SELECT id, made, token, rank() OVER (PARTITION BY id, made ORDER BY rank) AS k FROM (SELECT id, made, unnest(made) AS token FROM e) JOIN rank USING (token)) WHERE k <= 2"))
 add("si_candidates", lambda spark, d: joins.si_candidates(profiled(spark, d, "kinds"), records(spark, d, "kinds")), sql(""", sig AS (SELECT DISTINCT id, token FROM (SELECT id, token, row_number() OVER (PARTITION BY id, made ORDER BY rank) AS k FROM (SELECT id, made, unnest(made) AS token FROM e) JOIN rank USING (token)) WHERE k = 1),
 own AS (SELECT id, token FROM (SELECT id, token, row_number() OVER (PARTITION BY id ORDER BY rank) AS k FROM (SELECT DISTINCT id, unnest(toks) AS token FROM recs) JOIN rank USING (token)) WHERE k = 1), lens AS (SELECT id, min(len(made)) AS lo, max(len(made)) AS hi FROM e GROUP BY id)
 SELECT DISTINCT s.id AS id1, o.id AS id2 FROM sig s JOIN own o USING (token) JOIN lens l ON l.id = s.id JOIN recs r ON r.id = o.id WHERE len(r.toks) BETWEEN lo AND hi""", "kinds"))
@@ -320,6 +321,7 @@ add("characteristics", lambda spark, d: statistics.characteristics(profiled(spar
 SELECT what, min(v) AS least, avg(v) AS mean, max(v) AS most, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.9) AS p90 FROM (SELECT 'length' AS what, length AS v FROM x UNION ALL SELECT 'rules', rules FROM x UNION ALL SELECT 'transforms', transforms FROM x) GROUP BY what"""))
 add("token_frequency", lambda spark, d: statistics.token_frequency(records(spark, d)), sql("SELECT token, count(*) AS n FROM (SELECT unnest(toks) AS token FROM recs) GROUP BY token"))
 add("transforms_histogram", lambda spark, d: statistics.transforms_distribution(profiled(spark, d)), sql("SELECT CAST(floor(log10(c)) AS BIGINT) AS bucket, count(*) AS n FROM (SELECT id, count(*) AS c FROM ex JOIN recs USING (id) WHERE done = len(toks) GROUP BY id) GROUP BY 1"))
+add("sweep", lambda spark, d: sweep.run(spark, JoinSpec.of_self(records(spark, d, "kinds"), rules(spark)), {"JoinNaive": [{}], "JoinMH": [{"k": k, "q": q} for k in (1, 2) for q in (1, 2)]}), sql(f", n AS (SELECT count(*) AS pairs FROM ({SEQUENCE})) SELECT strategy, parameters, pairs FROM n, (VALUES ('JoinNaive', '{{}}'), ('JoinMH', '{{\"k\": 1, \"q\": 1}}'), ('JoinMH', '{{\"k\": 1, \"q\": 2}}'), ('JoinMH', '{{\"k\": 2, \"q\": 1}}'), ('JoinMH', '{{\"k\": 2, \"q\": 2}}')) AS v(strategy, parameters)", "kinds"))
 add("sample_bernoulli", lambda spark, d: planner.bernoulli(profiled(spark, d), 0.2, 7).select("id", "transforms"))
 add("sample_stratified", lambda spark, d: planner.stratified(profiled(spark, d), 0.2, 7).select("id", "transforms"))
 add("sample_stratified_log", lambda spark, d: planner.stratified_log(profiled(spark, d), 0.2, 7).select("id", "transforms"))
