@@ -16,8 +16,9 @@ def _mark(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
     """edges(u, v) to (node, root): every node of an edge with the smallest of its component.
 
-    A node's neighbours are never gathered: their minimum is aggregated before the shuffle and joined to the edges again, so that
-    a hub is dealt over tasks. Each round is written to the shared folder. No edges give no rows.
+    A node's neighbours are never gathered: their minimum is aggregated before the shuffle and joined to the edges again, on a copy of
+    the key, so that both sides are shuffled for the join and adaptive execution can deal a hub over tasks. Each round is
+    written to the shared folder. No edges give no rows.
     """
     e = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = stash(e, "edges")
@@ -26,10 +27,11 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
         if not before[0]:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        key = F.col("u").cast("string").alias("k")
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select(key, F.least("m", "u").alias("m"))
+        large = both.filter("v > u").select("u", "v", key).join(low, "k").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        small = large.select("u", "v", key).join(least.select(key, "m"), "k").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         new = stash(small.filter("u <> v").distinct(), "edges")
         unstash(e.sparkSession, e)
         e, now = new, _mark(new)
