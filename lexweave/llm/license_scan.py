@@ -121,3 +121,32 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, labels: dict[str, tuple[s
 
 def query(docs: DataFrame) -> DataFrame:
     return scan(docs)
+
+
+def oracle(base: dict[str, str] = BASE, labels: dict[str, tuple[str, ...]] = LABELS) -> str:
+    """The same rows in SQL, by looking for every phrase at every word."""
+    text = lambda s: "'" + s.replace("'", "''") + "'"
+    phrases = sorted({*base.values(), *(p for ps in labels.values() for p in ps)})
+    rows = ", ".join(f"({text(p)})" for p in phrases)
+    named = ", ".join(f"({text(k)}, {text(p)}, true)" for k, p in base.items()) + ", " + ", ".join(f"({text(k)}, {text(p)}, false)" for k, ps in labels.items() for p in ps)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+WITH words AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+phrases AS (SELECT p, string_split(p, ' ') AS ws FROM (VALUES {rows}) AS v(p)),
+named AS (SELECT * FROM (VALUES {named}) AS v(label, p, is_base)),
+total AS (SELECT count(*) AS n FROM words),
+vocabulary AS (SELECT DISTINCT unnest(ws) AS word FROM phrases),
+df AS (SELECT v.word, count(w.r) AS n FROM vocabulary v LEFT JOIN words w ON list_contains(w.w, v.word) GROUP BY v.word),
+weights AS (SELECT p, sum(ln((total.n + 1) / (df.n + 1))) AS weight FROM (SELECT p, unnest(ws) AS word FROM phrases) JOIN df USING (word), total GROUP BY p),
+places AS (
+  SELECT r, p, unnest(list_filter(range(0, len(w) - len(ws) + 1), lambda i: w[i + 1:i + len(ws)] = ws)) AS at_word
+  FROM words, phrases WHERE list_contains(w, ws[1]) AND len(w) >= len(ws)),
+found AS (SELECT DISTINCT r, p FROM places),
+held AS (SELECT r, label, is_base FROM named LEFT JOIN found USING (p) GROUP BY r, label, is_base HAVING r IS NOT NULL AND count(*) = (SELECT count(*) FROM named x WHERE x.label = named.label AND x.is_base = named.is_base)),
+names AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base), '') AS base_labels FROM held GROUP BY r),
+spots AS (SELECT r, count(*) AS n_base, min(at_word) AS first_word, max(at_word) AS last_word FROM places JOIN named USING (p) WHERE is_base GROUP BY r),
+heavy AS (SELECT r, sum(weight) AS weight FROM found JOIN weights USING (p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN labels IS NULL THEN 0.0 ELSE 1 - 1 / (1 + greatest(weight, 0.0)) END AS score
+FROM words LEFT JOIN names USING (r) LEFT JOIN spots USING (r) LEFT JOIN heavy USING (r)
+"""

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, jaccard_join, language_id, license_scan, lm_score, media, mixing, suffix_dedup, token_counts, toxicity
 from .common import read_table
+from .oracles import oracle_sql
+
+
+__all__ = ["oracle_sql", "queries"]
 
 
 def _over_documents(f):
@@ -28,7 +32,3 @@ def queries() -> dict:
         "op9_decontaminate": lambda spark, sf_dir: decontaminate.query(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")),
         "op10_language_id": _over_documents(language_id.query),
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": mixing.SQL}

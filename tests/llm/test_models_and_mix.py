@@ -187,3 +187,23 @@ def test_pipeline(spark, tmp_path, rows):
     assert set(kept["repeated_passages"]) - set(kept["benchmark_leaks"]) == {1000}
     assert all(r.taken > 0 for r in kept["source_mix"].values())
     assert p.run(spark, str(tmp_path)).count() == len(kept["source_mix"])
+
+
+@pytest.mark.parametrize("name", ["op1_license_scan", "op2_jaccard_join", "op3_mix_sources"])
+def test_queries_against_sql(spark, tmp_path, rows, name):
+    import duckdb
+
+    from lexweave.llm import queries
+
+    seen, unique = set(), []
+    for r in rows:  # ids are keys where the SQL groups by them
+        if r[0] is not None and r[0] not in seen and "\x00" not in (r[1] or ""):
+            seen.add(r[0])
+            unique.append(r)
+    frame(spark, unique, clash=False).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(queries.oracle_sql()[name])
+    got = queries.queries()[name](spark, str(tmp_path)).select(*want.columns).collect()
+    show = lambda r: tuple(round(x, 6) if isinstance(x, float) else x for x in r)
+    assert Counter(map(show, map(tuple, got))) == Counter(map(show, want.fetchall()))
