@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +46,25 @@ def _reachable(name: str, parameters: dict):
     return F.size(F.filter("y", lambda t: ~F.array_contains("reach", t))) <= most
 
 
+class _Seen:
+    """Records of a task by id, so that each is turned into Python once however many candidates it has; bounded."""
+
+    def __init__(self, key: str, toks: str, rules: str, most: int = 100_000):
+        self.key, self.toks, self.rules, self.most = key, toks, rules, most
+        self.known: dict[int, tuple] = {}
+
+    def of(self, b: pa.RecordBatch) -> dict[int, tuple]:
+        if len(self.known) > self.most:
+            self.known.clear()
+        ids, first = np.unique(b.column(self.key).to_numpy(), return_index=True)
+        new = [(i, k) for i, k in zip(ids.tolist(), first.tolist(), strict=True) if i not in self.known]
+        if new:
+            rows = pa.array([k for _, k in new], pa.int64())
+            toks, rules = (b.column(c).take(rows).to_pylist() for c in (self.toks, self.rules))
+            self.known.update({i: (tuple(t), _rules(r)) for (i, _), t, r in zip(new, toks, rules, strict=True)})
+        return self.known
+
+
 def verify(candidates: DataFrame, left: DataFrame, right: DataFrame, name: str, **parameters) -> DataFrame:
     """The candidates (id1, id2) that satisfy a predicate; left: (id, toks, rules); right: (id, toks[, rules])."""
     test = PREDICATES[name]
@@ -54,9 +74,10 @@ def verify(candidates: DataFrame, left: DataFrame, right: DataFrame, name: str,
     y = right.select(F.col("id").alias("id2"), F.col("toks").alias("y"), ry.alias("ry"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left_seen, right_seen = _Seen("id1", "x", "rx"), _Seen("id2", "y", "ry")
         for b in batches:
-            rows = zip(*(b.column(k).to_pylist() for k in ("x", "rx", "y", "ry")), strict=True)
-            mask = pa.array([bool(test(tuple(xs), _rules(rx), tuple(ys), _rules(ry), parameters)) for xs, rx, ys, ry in rows], pa.bool_())
+            one, two = left_seen.of(b), right_seen.of(b)
+            mask = pa.array([bool(test(*one[i], *two[j], parameters)) for i, j in zip(b.column("id1").to_pylist(), b.column("id2").to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("id1").filter(mask), b.column("id2").filter(mask)], ["id1", "id2"])
 
     return candidates.join(x, "id1").join(y, "id2").filter(_reachable(name, parameters)).select("id1", "id2", "x", "rx", "y", "ry").mapInArrow(run, "id1 long, id2 long")
