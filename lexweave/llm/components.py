@@ -1,4 +1,4 @@
-"""Connected components of large graphs by alternating large and small stars."""
+"""Connected components of large graphs: leaves are contracted first, the rest goes by alternating large and small stars."""
 
 from __future__ import annotations
 
@@ -13,21 +13,23 @@ def _mark(edges: DataFrame) -> tuple:
     return r[0], r[1]
 
 
-def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """edges(u, v) to (node, root): every node of an edge with the smallest of its component.
+def _downward(edges: DataFrame) -> DataFrame:
+    """Distinct edges from the larger node u to the smaller v."""
+    return edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def _stars(e: DataFrame, most: int) -> DataFrame:
+    """(u, root) of every node u of downward edges that is not the smallest of its component.
 
     A node's neighbours are never gathered: their minimum is aggregated before the shuffle and joined to the edges again, on a copy of
     the key, so that both sides are shuffled for the join and adaptive execution can deal a hub over tasks. Each round is
-    written to the shared folder. No edges give no rows.
+    written to the shared folder.
     """
-    e = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = stash(e, "edges")
-    before = _mark(e)
+    before, key = _mark(e), F.col("u").cast("string").alias("k")
     for _ in range(most):
         if not before[0]:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        key = F.col("u").cast("string").alias("k")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(key, F.least("m", "u").alias("m"))
         large = both.filter("v > u").select("u", "v", key).join(low, "k").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -40,4 +42,23 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
         before = now
     else:
         raise RuntimeError(f"components have not settled in {most} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return e.withColumnRenamed("v", "root")
+
+
+def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
+    """edges(u, v) to (node, root): every node of an edge with the smallest of its component. No edges give no rows.
+
+    Every node that has a smaller neighbour takes the smallest of them as its parent; its other smaller neighbours are tied to that parent
+    instead. Nodes that are no one's smaller neighbour then hang from their parents alone and leave the graph, so that the rounds see
+    hubs only.
+    """
+    e = stash(_downward(edges), "edges")
+    parents = stash(e.groupBy("u").agg(F.min("v").alias("m")), "parents")
+    key = F.col("u").cast("string").alias("k")
+    ties = e.select("v", key).join(parents.select(key, "m"), "k").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    hubs = e.select("v").distinct()
+    kept = parents.join(hubs, parents["u"] == hubs["v"], "left_semi").select("u", F.col("m").alias("v"))
+    roots = _stars(stash(_downward(ties.unionByName(kept)), "hubs"), most)
+    upper = parents.join(roots.select(F.col("u").alias("m"), "root"), "m", "left").select(F.col("u").alias("node"), F.coalesce("root", "m").alias("root"))
+    lowest = hubs.join(parents, hubs["v"] == parents["u"], "left_anti").join(roots, hubs["v"] == roots["u"], "left")
+    return upper.unionByName(lowest.select(F.col("v").alias("node"), F.coalesce("root", "v").alias("root")))
