@@ -1,8 +1,8 @@
 """Language identification by compression: one raw-content zstandard dictionary per language, the smallest output wins.
 
 Texts are read as their letters, lower-cased, with a space for every run of other characters. Training: for each language a bounded
-sample of labelled rows, `dict_docs` texts at most in the order of a digest of their bytes, of which `dict_bytes` go into the
-dictionary, an equal share from each. Prediction: the whole text is cut into blocks, at character boundaries, so that the
+sample of labelled rows, `dict_docs` distinct texts at most in the order of a digest of their bytes, of which `dict_bytes` go into the
+dictionary, an equal share from each; copies of a text count once. Prediction: the whole text is cut into blocks, at character boundaries, so that the
 dictionary counts everywhere in long texts; each block is compressed against every dictionary and the sizes are summed.
 score is a logistic function of the relative margin between the two smallest sums; below `min_margin` the answer is
 marked as rejected (the query still names the closest language, as its contract asks).
@@ -45,11 +45,14 @@ def train_dictionaries(rows: DataFrame, dict_docs: int = 256, dict_bytes: int =
     if len(count) > max_langs:
         raise ValueError(f"{len(count)} languages; dictionaries are broadcast for {max_langs} at most")
     share = dict_bytes // dict_docs
-    d = d.select("lang", F.substring("text", 1, 4 * share).alias("piece"), F.xxhash64("text").alias("u"), F.pmod(F.xxhash64("text"), F.lit(64)).alias("salt"))
+    d = d.select("lang", F.substring("text", 1, 4 * share).alias("piece"), F.xxhash64("text").alias("u"))
+    chosen = d.select("lang", "u").distinct().withColumn("salt", F.pmod("u", F.lit(64)))
     for keys in (["lang", "salt"], ["lang"]):  # a hot language is thinned in 64 parts first
-        d = d.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy("u", "piece"))).filter(F.col("n") <= dict_docs).drop("n")
+        chosen = chosen.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy("u"))).filter(F.col("n") <= dict_docs).drop("n")
+    # dict_docs * max_langs keys at most
+    d = d.join(F.broadcast(chosen.select("lang", "u")), ["lang", "u"]).groupBy("lang", "u").agg(F.min("piece").alias("piece"))
     pieces: dict[str, list[bytes]] = {}
-    for lang, _, piece in sorted((r["lang"], r["u"], r["piece"]) for r in d.select("lang", "u", "piece").toLocalIterator()):
+    for lang, _, piece in sorted((r["lang"], r["u"], r["piece"]) for r in d.toLocalIterator()):
         pieces.setdefault(lang, []).append(cut(normal(piece).encode("utf-8", "surrogatepass"), share))
     return {k: b" ".join(pieces[k]) for k in sorted(pieces, key=lambda k: (-count[k], k))}
 

@@ -133,3 +133,13 @@ def test_language_id(spark, docs, rows, nothing):
     assert all(want[i] == (zlib.crc32(str(i).encode()) % 3 == 1) == r.held_out for i, r in out.items())
     none = language_id.query(spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")).collect()
     assert [(r.lang_pred, r.score) for r in none] == [("und", 0.0)]
+
+
+def test_language_sample_counts_copies_once(spark):
+    texts = [f"{'abcdefghij'[i]} tak rim sol ban {i} " + "abcdefghij"[i] * 5 for i in range(10)]
+    first = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("text", "xxhash64(text) AS u").orderBy("u").first()["text"]
+    d = spark.createDataFrame([(t, "aa") for t in texts + [first] * 300], "text string, lang string").repartition(4)
+    plain = spark.createDataFrame([(t, "aa") for t in texts], "text string, lang string")
+    got = language_id.train_dictionaries(d, dict_docs=8, dict_bytes=8 << 8)
+    assert got == language_id.train_dictionaries(plain, dict_docs=8, dict_bytes=8 << 8)
+    assert sum(x * 5 in got["aa"].decode() for x in "abcdefghij") == 8
