@@ -1,7 +1,8 @@
 """The queries of the library's own operators, each over whole tables, with the SQL that gives the same rows.
 
 Records are the distinct texts of `part` (a text's id is its smallest key): `items` (name, type, brand), `kinds` (name, type) and
-`shelf` (name, brand); so joins return pairs of representatives. Rules are given here, for Spark and for SQL alike.
+`shelf` (name, brand); so joins return pairs of representatives, and `part_members` tells which parts each stands for. Queries over
+`kinds` are registered over `items` too, as NAME_items. Rules are given here, for Spark and for SQL alike.
 """
 
 from __future__ import annotations
@@ -32,6 +33,12 @@ def records(spark: SparkSession, sf_dir: str, name: str = "items") -> DataFrame:
     return text.with_tokens(p.groupBy("raw").agg(F.min("p_partkey").alias("id")))
 
 
+def members(spark: SparkSession, sf_dir: str, name: str = "items") -> DataFrame:
+    """(p_partkey, id): the representative of every part."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.lower(F.concat_ws(" ", *COLUMNS[name])).alias("raw"))
+    return p.join(records(spark, sf_dir, name).select("raw", "id"), "raw").select("p_partkey", "id")
+
+
 def rules(spark: SparkSession) -> DataFrame:
     return text.rules_of(spark, RULES)
 
@@ -99,6 +106,13 @@ def _self_join(name: str, kind: str = "items", **params) -> Query:
     return lambda spark, d: registry.run(name, JoinSpec.of_self(records(spark, d, kind), rules(spark), **params))
 
 
+def add_items(name: str, query: Callable[[SparkSession, str, str], DataFrame], with_sql: bool = True) -> None:
+    """The query of `kinds` over `items`; without SQL where that would hold all pairs of records against each other."""
+    records_sql = lambda kind: sql("", kind).split("\n")[1]
+    oracle = _sql[name].replace(records_sql("kinds"), records_sql("items")) if with_sql else None
+    add(f"{name}_items", lambda spark, d: query(spark, d, "items"), oracle)
+
+
 # sources and tokens
 add(
     "tokenize",
@@ -117,9 +131,9 @@ def _round_trip(spark: SparkSession, d: str) -> DataFrame:
 add("dictionary_round_trip", _round_trip, sql("SELECT id, array_to_string(toks, ' ') AS toks FROM recs"))
 
 
-def _result_text(spark: SparkSession, d: str) -> DataFrame:
-    r = records(spark, d, "kinds")
-    return sinks.result_lines(_self_join("JoinNaive", "kinds")(spark, d), r, r, True)
+def _result_text(spark: SparkSession, d: str, kind: str = "kinds") -> DataFrame:
+    r = records(spark, d, kind)
+    return sinks.result_lines(_self_join("JoinNaive", kind)(spark, d), r, r, True)
 
 
 add(
@@ -127,6 +141,10 @@ add(
     _result_text,
     sql(f"SELECT CAST(count(*) AS VARCHAR) AS value FROM ({SEQUENCE}) UNION ALL SELECT a.raw || ' (' || id1 || ')' || chr(9) || '==' || chr(9) || b.raw || ' (' || id2 || ')' FROM ({SEQUENCE}) p JOIN recs a ON a.id = id1 JOIN recs b ON b.id = id2 WHERE id1 <> id2", "kinds"),
 )
+add_items("result_text", _result_text)
+for _kind in COLUMNS:
+    _raw = f"lower(concat_ws(' ', {', '.join(COLUMNS[_kind])}))"
+    add(f"part_members_{_kind}", lambda spark, d, k=_kind: members(spark, d, k), f"SELECT p_partkey, min(p_partkey) OVER (PARTITION BY {_raw}) AS id FROM part")
 
 # arrays
 _three = lambda spark, d: records(spark, d).select("id", "toks")
@@ -144,7 +162,10 @@ add(
 def _distances(spark: SparkSession, d: str) -> DataFrame:
     k = records(spark, d, "kinds")
     x, y = k.select(F.col("id").alias("id1"), F.col("toks").alias("x"), F.get("toks", F.lit(0)).alias("f")), k.select(F.col("id").alias("id2"), F.col("toks").alias("y"), F.get("toks", F.lit(0)).alias("f"))
-    d1 = x.join(y, "f")
+    return _measured(x.join(y, "f"))
+
+
+def _measured(d1: DataFrame) -> DataFrame:
     cx, cy = F.col("x"), F.col("y")
     return d1.select("id1", "id2", arrays.lcs_length(cx, cy).cast("long").alias("lcs"), arrays.indel_distance(cx, cy).cast("long").alias("indel"), arrays.edit_distance(cx, cy).cast("long").alias("edit"), F.round(arrays.jaccard(cx, cy), 9).alias("jaccard"))
 
@@ -164,6 +185,17 @@ FROM lcs JOIN recs a ON a.id = id1 JOIN recs b ON b.id = id2 JOIN coded p ON p.i
     ),
 )
 
+
+def _all_distances(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    k = records(spark, d, kind)
+    m = k.select("id", F.size("toks").alias("min_len"), F.size("toks").alias("max_len"))
+    longest = int(m.agg(F.max("max_len")).first()[0] or 0)
+    pairs = joins.pairs_by_length(m, k, longest, longest)
+    return _measured(pairs.join(k.select(F.col("id").alias("id1"), F.col("toks").alias("x")), "id1").join(k.select(F.col("id").alias("id2"), F.col("toks").alias("y")), "id2"))
+
+
+add_items("array_distances", _all_distances, False)
+
 # rules
 add("rule_match", lambda spark, d: rewrite.applicable(records(spark, d), rules(spark)).select("id", F.col("start").cast("long").alias("start"), F.col("n").cast("long").alias("n"), joined("lhs").alias("lhs"), joined("rhs").alias("rhs")), sql("SELECT DISTINCT id, start, CAST(n AS BIGINT) AS n, array_to_string(lhs, ' ') AS lhs, array_to_string(rhs, ' ') AS rhs FROM grams JOIN rules USING (lhs)"))
 add("rule_self", lambda spark, d: rewrite.self_rules(records(spark, d)).select(joined("lhs").alias("lhs"), joined("rhs").alias("rhs")), sql("SELECT DISTINCT t AS lhs, t AS rhs FROM (SELECT unnest(toks) AS t FROM recs)"))
@@ -179,6 +211,7 @@ add("available_tokens", lambda spark, d: rewrite.available_tokens(matched(spark,
 add("set_expansion", lambda spark, d: rewrite.set_expansions(matched(spark, d, "kinds")).select("id", joined("toks").alias("toks")), sql(""", own AS (SELECT DISTINCT m.id, m.rhs FROM m JOIN recs USING (id) WHERE NOT list_has_all(toks, m.rhs)), numbered AS (SELECT id, rhs, row_number() OVER (PARTITION BY id ORDER BY rhs) AS k, count(*) OVER (PARTITION BY id) AS c FROM own),
 sx AS (SELECT id, CAST(0 AS BIGINT) AS k, list_sort(list_distinct(toks)) AS s FROM recs UNION ALL SELECT sx.id, sx.k + 1, CASE WHEN y THEN list_sort(list_distinct(sx.s || n.rhs)) ELSE sx.s END FROM sx JOIN numbered n ON n.id = sx.id AND n.k = sx.k + 1, (VALUES (true), (false)) AS c(y))
 SELECT DISTINCT id, array_to_string(s, ' ') AS toks FROM sx WHERE k = coalesce((SELECT max(c) FROM numbered n WHERE n.id = sx.id), 0)""", "kinds"))
+add_items("set_expansion", lambda spark, d, kind: rewrite.set_expansions(matched(spark, d, kind)).select("id", joined("toks").alias("toks")))
 add("full_set", lambda spark, d: rewrite.full_set(matched(spark, d)).select("id", F.size("full").cast("long").alias("n"), joined(F.array_sort("full")).alias("full")), sql('SELECT id, CAST(len(f) AS BIGINT) AS n, array_to_string(f, \' \') AS "full" FROM (SELECT id, list_sort(list_distinct(flatten(list(rhs)))) AS f FROM m GROUP BY id)'))
 add("random_transform", lambda spark, d: rewrite.random_transform(matched(spark, d)).select("id", joined("toks").alias("toks")))
 
@@ -230,6 +263,8 @@ add("si_candidates", lambda spark, d: joins.si_candidates(profiled(spark, d, "ki
 own AS (SELECT id, token FROM (SELECT id, token, row_number() OVER (PARTITION BY id ORDER BY rank) AS k FROM (SELECT DISTINCT id, unnest(toks) AS token FROM recs) JOIN rank USING (token)) WHERE k = 1), lens AS (SELECT id, min(len(made)) AS lo, max(len(made)) AS hi FROM e GROUP BY id)
 SELECT DISTINCT s.id AS id1, o.id AS id2 FROM sig s JOIN own o USING (token) JOIN lens l ON l.id = s.id JOIN recs r ON r.id = o.id WHERE len(r.toks) BETWEEN lo AND hi""", "kinds"))
 add("length_filter", lambda spark, d: joins.pairs_by_length(profiled(spark, d, "kinds"), records(spark, d, "kinds")), sql(", lens AS (SELECT id, min(len(made)) AS lo, max(len(made)) AS hi FROM e GROUP BY id) SELECT l.id AS id1, r.id AS id2 FROM lens l JOIN recs r ON len(r.toks) BETWEEN lo AND hi", "kinds"))
+add_items("si_candidates", lambda spark, d, kind: joins.si_candidates(profiled(spark, d, kind), records(spark, d, kind)), False)
+add_items("length_filter", lambda spark, d, kind: joins.pairs_by_length(profiled(spark, d, kind), records(spark, d, kind)), False)
 
 # joins
 for _name, _key, _params in (
@@ -246,8 +281,9 @@ for _dist in ("edit", "lcs"):
     ):
         kind = "kinds" if _name == "delta_all_pairs" else "items"
         add(f"{_name}_{_dist}", _self_join(_key, kind, delta=1, dist=_dist, **_params), sql(DELTA[_dist], kind))
+    add_items(f"delta_all_pairs_{_dist}", lambda spark, d, kind, x=_dist: _self_join("JoinDeltaVar", kind, delta=1, dist=x, use_pqf=False)(spark, d))
 for _name, _key, _params in (("join_pkduck_greedy", "JoinPkduck", {"check": "greedy"}), ("join_pkduck_set_greedy", "JoinPkduckSet", {"check": "greedy"}), ("join_bkp_set_beam", "JoinBKPSet", {"check": "beam", "beam": 3}), ("join_bkp_set_greedy", "JoinBKPSet", {"check": "MIT_GR"}), ("join_jaccard_replace", "JoinPkduckOriginal", {"theta": 0.6}), ("join_jaccard_expand", "SIJoinOriginal", {"theta": 0.6})):
-    add(_name, _self_join(_key, "kinds" if "jaccard" in _name else "items", **_params))
+    add(_name, _self_join(_key, **_params))
 
 
 def _plain(spark: SparkSession, d: str) -> DataFrame:
@@ -257,19 +293,21 @@ def _plain(spark: SparkSession, d: str) -> DataFrame:
 add("pass_join_plain", _plain, sql("SELECT id AS id1, id AS id2 FROM recs UNION " + SELF.format(f"SELECT d.id AS a, r.id AS b FROM {DROPS.format('toks', 'recs')} d JOIN recs r ON d.less = r.toks")))
 
 
-def _jaccard_exact(spark: SparkSession, d: str) -> DataFrame:
-    m = profiled(spark, d, "kinds")
+def _jaccard_exact(spark: SparkSession, d: str, kind: str = "kinds") -> DataFrame:
+    m = profiled(spark, d, kind)
     return joins.jaccard_expand(m, m, 0.6, "jaccard_exact").filter("id1 <= id2")
 
 
-def _jaccard_full(spark: SparkSession, d: str) -> DataFrame:
-    m = profiled(spark, d, "kinds")
-    return verify(joins.pairs_by_length(m, records(spark, d, "kinds"), 10), m, m, "jaccard_full", theta=0.6).filter("id1 <= id2")
+def _jaccard_full(spark: SparkSession, d: str, kind: str = "kinds") -> DataFrame:
+    m = profiled(spark, d, kind)
+    return verify(joins.pairs_by_length(m, records(spark, d, kind), 10), m, m, "jaccard_full", theta=0.6).filter("id1 <= id2")
 
 
 SETS = _sql["set_expansion"].rsplit("SELECT DISTINCT id,", 1)
 add("jaccard_expand_exact", _jaccard_exact, SETS[0] + ", sets AS (SELECT DISTINCT id, s" + SETS[1].replace("array_to_string(s, ' ') AS toks ", "") + ") SELECT DISTINCT a.id AS id1, b.id AS id2 FROM sets a JOIN sets b ON a.id <= b.id WHERE len(list_intersect(a.s, b.s)) >= 0.6 * len(list_distinct(a.s || b.s)) - 1e-9")
 add("jaccard_expand_full", _jaccard_full, sql(", f AS (SELECT id, list_distinct(flatten(list(rhs))) AS s FROM m GROUP BY id) SELECT a.id AS id1, b.id AS id2 FROM f a JOIN f b ON a.id <= b.id WHERE len(list_intersect(a.s, b.s)) >= 0.6 * len(list_distinct(a.s || b.s)) - 1e-9", "kinds"))
+add_items("jaccard_expand_exact", _jaccard_exact, False)
+add_items("jaccard_expand_full", _jaccard_full, False)
 add("join_two_tables_one_side", lambda spark, d: registry.run("JoinNaive", JoinSpec(records(spark, d), records(spark, d, "shelf"), rules(spark), one_side=True, params=Params())), sql("SELECT DISTINCT e.id AS id1, r.id AS id2 FROM e JOIN recs2 r ON e.made = r.toks", other="shelf"))
 
 
@@ -283,9 +321,9 @@ add("join_two_tables", _two_tables("JoinMin"), BOTH)
 add("join_two_tables_signature", _two_tables("SIJoin"), BOTH)
 
 
-def _both_sides(spark: SparkSession, d: str) -> DataFrame:
-    m = profiled(spark, d, "kinds")
-    return verify(joins.pairs_by_length(m, records(spark, d, "kinds"), 4), m, m, "both")
+def _both_sides(spark: SparkSession, d: str, kind: str = "kinds") -> DataFrame:
+    m = profiled(spark, d, kind)
+    return verify(joins.pairs_by_length(m, records(spark, d, kind), 4), m, m, "both")
 
 
 def _both_expanded(spark: SparkSession, d: str) -> DataFrame:
@@ -304,17 +342,25 @@ for _name in ("sequence", "sequence_naive", "same", "set", "set_naive"):
 for _name in ("delta", "delta_naive"):
     add(f"verify_{_name}", lambda spark, d, n=_name: verify(joins.pairs_by_length(profiled(spark, d, "kinds"), records(spark, d, "kinds"), 4), matched(spark, d, "kinds"), records(spark, d, "kinds"), n, delta=1, dist="edit"), sql(f"SELECT DISTINCT a AS id1, b AS id2 FROM ({EDIT1})", "kinds"))
 
+_verified = lambda spark, d, kind, n, **options: verify(joins.pairs_by_length(profiled(spark, d, kind), records(spark, d, kind), 4), matched(spark, d, kind), records(spark, d, kind), n, **options)
+add_items("verify_both_sides", _both_sides)
+for _name in ("sequence", "sequence_naive", "same", "set", "set_naive"):
+    add_items(f"verify_{_name}", lambda spark, d, kind, n=_name: _verified(spark, d, kind, n))
+for _name in ("delta", "delta_naive"):
+    add_items(f"verify_{_name}", lambda spark, d, kind, n=_name: _verified(spark, d, kind, n, delta=1, dist="edit"))
+
 
 # evaluation, statistics, planning, generation
-def _quality(spark: SparkSession, d: str) -> DataFrame:
-    found = _self_join("JoinNaive", "kinds")(spark, d)
-    truth = _self_join("JoinDeltaNaive", "kinds", delta=1, dist="lcs")(spark, d).filter("id1 <> id2")
+def _quality(spark: SparkSession, d: str, kind: str = "kinds") -> DataFrame:
+    found = _self_join("JoinNaive", kind)(spark, d)
+    truth = _self_join("JoinDeltaNaive", kind, delta=1, dist="lcs")(spark, d).filter("id1 <> id2")
     return quality.scores(*quality.confusion(found, truth, self_join=True))
 
 
 add("quality_prf1", _quality, sql(f""", found AS ({SEQUENCE}), truth AS (SELECT * FROM ({DELTA['lcs']}) WHERE id1 <> id2),
 n AS (SELECT (SELECT count(*) FROM found JOIN truth USING (id1, id2)) AS tp, (SELECT count(*) FROM truth ANTI JOIN found USING (id1, id2)) AS fn, (SELECT count(*) FROM found ANTI JOIN truth USING (id1, id2) WHERE id1 <> id2) AS fp)
 SELECT tp, fn, fp, p AS precision, r AS recall, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f1 FROM (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r FROM n)""", "kinds"))
+add_items("quality_prf1", _quality)
 add("filter_power", lambda spark, d: quality.filter_power(profiled(spark, d), records(spark, d)))
 add("dataset_stats", lambda spark, d: statistics.dataset(records(spark, d)), sql("SELECT count(*) AS records, CAST(sum(len(toks)) AS BIGINT) AS tokens, avg(len(toks)) AS avg_len, max(len(toks)) AS max_len, (SELECT count(DISTINCT t) FROM (SELECT unnest(toks) AS t FROM recs)) AS distinct_tokens FROM recs"))
 add("characteristics", lambda spark, d: statistics.characteristics(profiled(spark, d)), sql(""", x AS (SELECT id, CAST(len(toks) AS DOUBLE) AS length, (SELECT CAST(count(*) AS DOUBLE) FROM m WHERE m.id = recs.id AND lhs <> rhs) AS rules, (SELECT CAST(count(*) AS DOUBLE) FROM ex WHERE ex.id = recs.id AND done = len(toks)) AS transforms FROM recs)
@@ -322,6 +368,7 @@ SELECT what, min(v) AS least, avg(v) AS mean, max(v) AS most, quantile_cont(v, 0
 add("token_frequency", lambda spark, d: statistics.token_frequency(records(spark, d)), sql("SELECT token, count(*) AS n FROM (SELECT unnest(toks) AS token FROM recs) GROUP BY token"))
 add("transforms_histogram", lambda spark, d: statistics.transforms_distribution(profiled(spark, d)), sql("SELECT CAST(floor(log10(c)) AS BIGINT) AS bucket, count(*) AS n FROM (SELECT id, count(*) AS c FROM ex JOIN recs USING (id) WHERE done = len(toks) GROUP BY id) GROUP BY 1"))
 add("sweep", lambda spark, d: sweep.run(spark, JoinSpec.of_self(records(spark, d, "kinds"), rules(spark)), {"JoinNaive": [{}], "JoinMH": [{"k": k, "q": q} for k in (1, 2) for q in (1, 2)]}), sql(f", n AS (SELECT count(*) AS pairs FROM ({SEQUENCE})) SELECT strategy, parameters, pairs FROM n, (VALUES ('JoinNaive', '{{}}'), ('JoinMH', '{{\"k\": 1, \"q\": 1}}'), ('JoinMH', '{{\"k\": 1, \"q\": 2}}'), ('JoinMH', '{{\"k\": 2, \"q\": 1}}'), ('JoinMH', '{{\"k\": 2, \"q\": 2}}')) AS v(strategy, parameters)", "kinds"))
+add_items("sweep", lambda spark, d, kind: sweep.run(spark, JoinSpec.of_self(records(spark, d, kind), rules(spark)), {"JoinNaive": [{}], "JoinMH": [{"k": k, "q": q} for k in (1, 2) for q in (1, 2)]}))
 add("sample_bernoulli", lambda spark, d: planner.bernoulli(profiled(spark, d), 0.2, 7).select("id", "transforms"))
 add("sample_stratified", lambda spark, d: planner.stratified(profiled(spark, d), 0.2, 7).select("id", "transforms"))
 add("sample_stratified_log", lambda spark, d: planner.stratified_log(profiled(spark, d), 0.2, 7).select("id", "transforms"))

@@ -56,3 +56,32 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test data")
+@pytest.mark.parametrize("name", ["result_text_items", "set_expansion_items", "delta_all_pairs_edit_items", "verify_set_items", "verify_delta_items", "verify_both_sides_items", "quality_prf1_items", "part_members_items"])
+def test_items_against_sql(spark, name):
+    test_against_sql(spark, name)
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test data")
+def test_item_queries_equal_brute_force(spark):
+    import __spark_entry__ as e
+
+    from lexweave import queries as q
+    from lexweave.functions import rewriting as R
+
+    rows = q.matched(spark, str(DATA)).collect()
+    recs = {r.id: (tuple(r.toks), [(x.start, x.n, tuple(x.rhs)) for x in r.rules]) for r in rows}
+    found = {n: e.queries()[n](spark, str(DATA)).collect() for n in ("join_jaccard_replace", "join_jaccard_expand", "jaccard_expand_full_items", "length_filter_items", "array_distances_items")}
+    pairs = {n: {(r.id1, r.id2) for r in x} for n, x in found.items()}
+    near = lambda a, b: len(a & b) >= 0.6 * len(a | b) - 1e-9
+    greedy = {(a, b) for a, (x, rules) in recs.items() for b, (y, _) in recs.items() if R.greedy_jaccard(x, rules, y) >= 0.6 - 1e-9}
+    assert pairs["join_jaccard_replace"] == {(min(p), max(p)) for p in greedy}
+    full = {i: set(x) | {t for _, _, rhs in rules for t in rhs} for i, (x, rules) in recs.items()}
+    assert pairs["jaccard_expand_full_items"] == {(a, b) for a in recs for b in recs if a <= b and near(full[a], full[b])}
+    assert pairs["join_jaccard_expand"] >= {(a, b) for a in recs for b in recs if a <= b and near(set(recs[a][0]), set(recs[b][0]))}
+    made = {i: [len(s) for s in R.expand(len(x), rules)] for i, (x, rules) in recs.items()}
+    assert pairs["length_filter_items"] == {(a, b) for a in recs for b in recs if min(made[a]) <= len(recs[b][0]) <= max(made[a])}
+    assert len(found["array_distances_items"]) == len(recs) ** 2
+    assert all(r.edit == R.distance(recs[r.id1][0], recs[r.id2][0], True) and r.indel == R.distance(recs[r.id1][0], recs[r.id2][0], False) for r in found["array_distances_items"])
