@@ -4,7 +4,8 @@ A document is its set of distinct word shingles. For a pair with Jaccard similar
 band, the symmetric difference is at most H = (1 - t) / t * (largest size of the band). The universe of shingles is hashed
 into m segments, d of which also index their one-deletion neighbourhoods, with m + d = H + 1 + spare: then at least
 spare + 1 units of budget are left, so that some segment agrees (or agrees but for one shingle where
-neighbourhoods are indexed). m and d come from a cost model per band: rows indexed plus chance collisions, from the
+neighbourhoods are indexed). A set leaves its empty segments out while they stand for at most spare units, two for each of the first d:
+of two sets, segments that agree empty, or but for the only shingle of one side, then take no more than spare units, so one key is left. m and d come from a cost model per band: rows indexed plus chance collisions, from the
 number of documents of that size. A document indexes its own band and, as the larger partner, the one below.
 
 Very frequent shingles would make segments agree by chance. Leaving any fixed set of shingles out of both sets never
@@ -140,7 +141,7 @@ def signatures(s: np.ndarray, bands: list[tuple[int, Band]], tag: int) -> np.nda
         filled = np.bincount(seg, minlength=m)
         salt = mix64(np.arange(m, dtype=U64) + U64(number << 32 | tag << 60))
         use = filled > 0
-        if m - use.sum() > spare:
+        if m - use.sum() + d - use[:d].sum() > spare:
             use[:] = True
         out.append(mix64(sums ^ salt)[use])
         if d:

@@ -95,6 +95,19 @@ def test_no_allocation_loses_a_pair():
                     assert np.intersect1d(signer.of(a), signer.of(b)).size
 
 
+def test_empty_segments_with_neighbourhoods_take_two_units():
+    spec, plan = jaccard_join.Spec(k=5, percent=80), (5, 2, 2)
+    bands = [jaccard_join.Band(14, 17, 4, (plan, plan)), jaccard_join.Band(18, 22, 5, ((6, 0, 0), (6, 0, 0)))]
+    some = np.random.default_rng(3).integers(1, 2**63, 400, dtype=np.uint64)
+    seg = jaccard_join.mix64(some ^ np.uint64(0xA24BAED4963EE407)) % np.uint64(5)
+    of = [some[seg == i] for i in range(5)]
+    a = np.sort(np.concatenate([of[2][:6], of[3][:5], of[4][:5]]))
+    b = np.sort(np.concatenate([a, of[0][:1], of[2][6:7], of[3][5:6], of[4][5:6]]))
+    assert spec.linked(len(np.intersect1d(a, b)), len(a), len(b))
+    signer = jaccard_join.Signer(spec, bands, np.zeros(0, np.uint64))
+    assert np.intersect1d(signer.of(a), signer.of(b)).size
+
+
 def test_near_duplicates_keep_one(spark, rows, nothing):
     assert near_dedup.dedup(nothing).collect() == []
     assert jaccard_join.query(nothing).collect() == []
