@@ -16,6 +16,8 @@ from ..functions import rewriting as R
 
 #: Records with more segmentations than this are not searched with.
 MOST_TRANSFORMS = 20_000_000
+#: Records with more choices of added right-hand sides than this have no set expansions.
+MOST_CHOICES = 4096
 RULE = "struct<start:int,n:int,rhs:array<string>>"
 
 
@@ -117,8 +119,18 @@ def skipped(m: DataFrame, most: int = MOST_TRANSFORMS) -> DataFrame:
     return m.filter(num_transforms() > most).select("id")
 
 
-def set_expansions(m: DataFrame, most: int = 4096) -> DataFrame:
-    """(id, toks): the record's token set with the rhs of every choice of rules added, sorted; only records of `most` choices at most."""
+def _set_choices() -> Column:
+    """Choices of the distinct rhs that add a token."""
+    return F.pow(F.lit(2.0), F.size(F.array_distinct(F.filter(F.transform("rules", lambda r: r["rhs"]), lambda x: F.size(F.array_except(x, F.col("toks"))) > 0))))
+
+
+def set_skipped(m: DataFrame, most: int = MOST_CHOICES) -> DataFrame:
+    """(id) of the records that set_expansions leaves out."""
+    return m.filter(_set_choices() > most).select("id")
+
+
+def set_expansions(m: DataFrame, most: int = MOST_CHOICES) -> DataFrame:
+    """(id, toks): the record's token set with the rhs of every choice of rules added, sorted. Records of more than `most` choices are left out, see set_skipped()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -126,8 +138,7 @@ def set_expansions(m: DataFrame, most: int = 4096) -> DataFrame:
                 made = [sorted(s) for s in R.all_set_expansions(tuple(toks), _rules(rules))]
                 yield pa.RecordBatch.from_arrays([pa.array([i] * len(made), pa.int64()), pa.array(made, pa.list_(pa.string()))], ["id", "toks"])
 
-    adds = F.size(F.array_distinct(F.filter(F.transform("rules", lambda r: r["rhs"]), lambda x: F.size(F.array_except(x, F.col("toks"))) > 0)))
-    return m.filter(F.pow(F.lit(2.0), adds) <= most).mapInArrow(run, "id long, toks array<string>")
+    return m.filter(_set_choices() <= most).mapInArrow(run, "id long, toks array<string>")
 
 
 def full_set(m: DataFrame) -> DataFrame:

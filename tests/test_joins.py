@@ -129,3 +129,11 @@ def test_empty_tables(spark, data):
 def test_no_nested_loop_and_no_python_in_native_parts(data):
     plan = registry.run("JoinMin", spec(data, True))._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_records_without_set_expansions_are_listed(spark):
+    r, rules = frame(spark, ["a b", "b"]), text.rules_of(spark, [("a", f"x{i}") for i in range(13)])
+    m = rewrite.matched(r, rules)
+    assert {x.id for x in rewrite.set_skipped(m).collect()} == {0}
+    assert {x.id for x in rewrite.set_expansions(m).collect()} == {1}
+    assert not rewrite.set_skipped(m, 1 << 13).collect()
