@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,10 +21,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests), a temporary one of our own."""
+    """The folder named in spark.checkpoint.dir; where that is unset and all executors are in this process, a temporary one of our own."""
     global _own_dir
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="lexweave-")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
@@ -72,6 +75,16 @@ def input_bytes(df: DataFrame) -> int:
     return n
 
 
+def chunk_size(size: int, small: int = 2 << 20, large: int = 16 << 20) -> int:
+    """Bytes of a packed row for an input of `size` bytes, so that the number of messages between chunks and buckets grows slowly."""
+    return min(large, max(small, size >> 10))
+
+
+def bucket_count(size: int, small: int = 3 << 20, large: int = 64 << 20) -> int:
+    """Buckets of a key range for an input of `size` bytes: each stands for `small` bytes of it, for up to `large` in inputs over 4,096 such."""
+    return max(16, size // min(large, max(small, size >> 12)))
+
+
 def fold(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo n (a null id counts as the empty text)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -46,7 +46,7 @@ def _stars(e: DataFrame, most: int) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """edges(u, v) to (node, root): every node of an edge with the smallest of its component. No edges give no rows.
+    """edges(u, v) to a stashed (node, root): every node of an edge with the smallest of its component. No edges give no rows.
 
     Every node that has a smaller neighbour takes the smallest of them as its parent; its other smaller neighbours are tied to that parent
     instead. Nodes that are no one's smaller neighbour then hang from their parents alone and leave the graph, so that the rounds see
@@ -61,4 +61,6 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
     roots = _stars(stash(_downward(ties.unionByName(kept)), "hubs"), most)
     upper = parents.join(roots.select(F.col("u").alias("m"), "root"), "m", "left").select(F.col("u").alias("node"), F.coalesce("root", "m").alias("root"))
     lowest = hubs.join(parents, hubs["v"] == parents["u"], "left_anti").join(roots, hubs["v"] == roots["u"], "left")
-    return upper.unionByName(lowest.select(F.col("v").alias("node"), F.coalesce("root", "v").alias("root")))
+    out = stash(upper.unionByName(lowest.select(F.col("v").alias("node"), F.coalesce("root", "v").alias("root"))), "components")
+    unstash(e.sparkSession, e, parents, roots)
+    return out

@@ -5,16 +5,20 @@ band, the symmetric difference is at most H = (1 - t) / t * (largest size of the
 into m segments, d of which also index their one-deletion neighbourhoods, with m + d = H + 1 + spare: then at least
 spare + 1 units of budget are left, so that some segment agrees (or agrees but for one shingle where
 neighbourhoods are indexed). A set leaves its empty segments out while they stand for at most spare units, two for each of the first d:
-of two sets, segments that agree empty, or but for the only shingle of one side, then take no more than spare units, so one key is left. m and d come from a cost model per band: rows indexed plus chance collisions, from the
-number of documents of that size. A document indexes its own band and, as the larger partner, the one below.
+of two sets, segments that agree empty, or but for the only shingle of one side, then take no more than spare units, so one key is left.
+m and d come from a cost model per band: keys plus chance collisions, from the number of documents of that size and the measured chance
+that a shingle of one document stands in another; plans of more than about a key a shingle are not taken. A document indexes its own
+band and, as the larger partner, the one below.
 
 Very frequent shingles would make segments agree by chance. Leaving any fixed set of shingles out of both sets never
-widens a symmetric difference, so from `cold_from` hundredths of similarity on, documents with enough other shingles are indexed without the frequent ones, those
-with few are indexed with all, and those in between both ways; no pair is lost whichever shingles are taken as frequent.
+widens a symmetric difference. So a band has a floor x of rare shingles: sets with x or more of them are indexed without the frequent ones,
+sets with less than x + H are indexed with all. Of a linked pair, either both have x rare shingles, or one has less and the other less than x + H;
+no pair is lost whichever shingles are taken as frequent.
 
-Equal sets are one node. Signatures move as packed arrays; groups of up to `small` nodes give their pairs, which are verified
-exactly; larger ones are merged to clusters (by stars, not pairs), whose members are verified in blocks, of which only a
-spanning forest of the true links is returned. Links then are closed to components.
+Equal sets are one node. Nodes that share a key are a group. Every group first ties its nodes to its smallest (a star, not pairs); verified ties make families.
+Only groups that still hold several families go on: their pairs of different families are compared by sketches (counts of shingles by
+hash, whose distance is never above the symmetric difference), in blocks of neighbouring sizes where a group is larger than `small`, and
+what the sketches let through is verified exactly: as pairs where they are few, as blocks of texts where they are many. Links then are closed to components.
 
 Defined cases: null and empty texts have no shingles and link with nothing; texts with fewer words than a shingle are one
 shingle; null and repeated ids are kept (a component's id is its smallest non-null id, else null); an empty table gives no
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_bytes, stash, unstash, utf8
+from .common import bucket_count, input_bytes, stash, unstash, utf8
 from .components import connected_components
 from .textops import LOWER, U64, Rolling, binary_parts, mix64, shingles, slices, word_spans
 
@@ -45,7 +49,6 @@ class Spec:
     k: int = 3
     percent: int = 90
     hot_share: float = 0.002
-    cold_from: int = 88
     small: int = 48
     block: int = 1024
     local_hot: int = 4
@@ -56,46 +59,51 @@ class Spec:
 
 @dataclass(frozen=True)
 class Band:
-    """Sizes, widest symmetric difference, and (segments, neighbourhoods, spare) for whole sets and for cold shingles only."""
+    """Sizes, widest symmetric difference, floor of rare shingles, and (segments, neighbourhoods, spare) for whole sets and for rare shingles only."""
 
     low: int
     high: int
     h: int
+    floor: int
     plans: tuple[tuple[int, int, int], tuple[int, int, int]]
 
 
-def make_bands(spec: Spec, counts: dict[int, int], limit: int) -> list[Band]:
-    """Size bands up to a size; counts: documents by floor(log2(size))."""
+def make_bands(spec: Spec, counts: dict[int, int], limit: int, agree: float = 1e-4) -> list[Band]:
+    """Size bands up to a size; counts: documents by floor(log2(size)); agree: the chance that a shingle of one document stands in another."""
     t, out, low = Fraction(spec.percent, 100), [], 1
     while low <= limit:
         high = max(low, math.floor(low / t))
         h = math.floor((1 - t) / t * high)
         n = counts.get(high.bit_length() - 1, 0)
-        out.append(Band(low, high, h, (allocate(h, low, n), allocate(h, max(1, low // 2), n))))
+        out.append(Band(low, high, h, 3 * low // 5, (allocate(h, low, n, agree), allocate(h, max(1, 4 * low // 5), n, min(agree, spec.hot_share / 8)))))
         low = high + 1
     return out
 
 
-def allocate(h: int, size: int, n: int, agree: float = 0.01) -> tuple[int, int, int]:
-    """Segments m, those with one-deletion neighbourhoods d, and spare budget, at the least expected cost.
+def allocate(h: int, size: int, n: int, agree: float) -> tuple[int, int, int]:
+    """Segments m, those with one-deletion neighbourhoods d, and spare budget, at the least expected cost of a set, in keys.
 
-    agree: the assumed chance that two unrelated sets of that size agree in a shingle of a segment.
+    A segment of c shingles on average has x of them with the chance of a Poisson number; it agrees with that of one of n unrelated sets
+    with chance e^-c (e^(c agree) - 1), and its neighbourhood with those that hold one shingle or all but one of the same.
     """
     if not h:
         return 1, 0, 0
     best = None
-    for d in {0, 1, (h + 1) // 2, h // 4}:
+    for d in sorted({0, 1, h // 4, (h + 1) // 2}):
         base = h + 1 - d
         if base < max(d, 1):
             continue
         m = base
         while m - base < (empty := m * math.exp(-size / m)) + 3 * math.sqrt(empty) and empty > 0.02 and m < 4 * base + 8:
             m += 1
-        spare = m - base
         c = size / m
-        cost = (m - d) * (1 + n * agree**c) + d * (1 + c) * (1 + n * agree ** max(c - 1, 1) * 2)
+        keys = m + d * c
+        if best and keys > size + 16:
+            continue
+        whole = math.exp(-c) * math.expm1(min(c * agree, 50.0))
+        cost = keys + n * (m * whole + d * c * (math.exp(-c) + c * whole))
         if best is None or cost < best[0]:
-            best = cost, m, d, spare
+            best = cost, m, d, m - base
     return best[1:]
 
 
@@ -164,13 +172,30 @@ class Signer:
             bands.append((k - 1, self.bands[k - 1]))
         if max(b.h for _, b in bands) == 0:
             return np.zeros(0, U64)
-        if len(self.hot) and self.spec.percent >= self.spec.cold_from:
-            cold = s[self.hot[np.minimum(np.searchsorted(self.hot, s), len(self.hot) - 1)] != s]
-            # Sizes of the rest differ by the widest symmetric difference at most; bands stay those of the whole sets.
-            floor, h = n // 2, max(b.h for _, b in bands)
-            plain = signatures(s, bands, 0) if len(cold) < floor + 2 * h + 2 else np.zeros(0, U64)
-            return np.concatenate([plain, signatures(cold, bands, 1)]) if len(cold) >= floor - h // 2 - 1 else plain
-        return signatures(s, bands, 0)
+        if not len(self.hot):
+            return signatures(s, bands, 0)
+        rare = s[self.hot[np.minimum(np.searchsorted(self.hot, s), len(self.hot) - 1)] != s]
+        plain = [x for x in bands if len(rare) < x[1].floor + x[1].h]
+        cold = [x for x in bands if len(rare) >= x[1].floor]
+        return np.concatenate([signatures(s, plain, 0), signatures(rare, cold, 1)])
+
+
+def sketch_width(n: int) -> int:
+    return 1 << min(12, max(4, n.bit_length() - 3))
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Counts of a set's shingles by hash, up to 255; halves of a sketch add up to the one of half its width."""
+    w = sketch_width(len(s))
+    return np.minimum(np.bincount((mix64(s + U64(0x1F83D9ABFB41BD6B)) & U64(w - 1)).astype(np.int64), minlength=w), 255).astype(np.uint8).tobytes()
+
+
+def folded(rows: list[bytes], width: int) -> np.ndarray:
+    """Sketches of one width as rows of a narrower one."""
+    x = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1).astype(np.int32)
+    while x.shape[1] > width:
+        x = x[:, : x.shape[1] // 2] + x[:, x.shape[1] // 2 :]
+    return x
 
 
 def _pack(pairs: np.ndarray) -> bytes:
@@ -178,7 +203,7 @@ def _pack(pairs: np.ndarray) -> bytes:
 
 
 def describe(docs: DataFrame, spec: Spec) -> DataFrame:
-    """kind 0: doc_id, set size n, node; kind 1: a shingle (node) frequent among n documents of one stretch."""
+    """kind 0: doc_id, set size n, node, sketch; kind 1: a shingle (node) frequent among n different sets of one stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -186,13 +211,17 @@ def describe(docs: DataFrame, spec: Spec) -> DataFrame:
             for lo, hi in slices(offs):
                 sets, at = shingle_sets(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], spec.k)
                 n, fp = np.diff(at), fingerprints(sets, at)
-                many, count = np.unique(sets, return_counts=True)
+                _, once, same = np.unique(fp, return_index=True, return_inverse=True)
+                made = [sketch(sets[at[i] : at[i + 1]]) if n[i] else None for i in once]
+                many, count = np.unique(np.concatenate([np.zeros(0, U64), *(sets[at[i] : at[i + 1]] for i in once)]), return_counts=True)
                 keep = count >= max(4, spec.hot_share * (hi - lo) / 2)
-                kind = np.repeat([0, 1], [hi - lo, keep.sum()]).astype(np.int32)
-                ids = pa.concat_arrays([b.column(0).slice(lo, hi - lo), pa.nulls(int(keep.sum()), pa.int64())])
-                yield pa.RecordBatch.from_arrays([pa.array(kind), ids, pa.array(np.concatenate([n, count[keep]])), pa.array(np.concatenate([fp, many[keep].view(np.int64)]))], ["kind", "doc_id", "n", "node"])
+                more = int(keep.sum())
+                kind = np.repeat([0, 1], [hi - lo, more]).astype(np.int32)
+                ids = pa.concat_arrays([b.column(0).slice(lo, hi - lo), pa.nulls(more, pa.int64())])
+                cols = [pa.array(kind), ids, pa.array(np.concatenate([n, count[keep]])), pa.array(np.concatenate([fp, many[keep].view(np.int64)])), pa.array([*(made[i] for i in same), *[None] * more], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["kind", "doc_id", "n", "node", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("b")).mapInArrow(run, "kind int, doc_id long, n long, node long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("b")).mapInArrow(run, "kind int, doc_id long, n long, node long, sketch binary")
 
 
 def index(docs: DataFrame, spec: Spec, bands: list[Band], hot: np.ndarray, buckets: int) -> DataFrame:
@@ -219,9 +248,8 @@ def index(docs: DataFrame, spec: Spec, bands: list[Band], hot: np.ndarray, bucke
             bucket = (sig[to_bucket] >> U64(20)) % U64(buckets)
             by = np.argsort(bucket, kind="stable")
             rows = np.stack([sig[to_bucket][by].view(np.int64), node[to_bucket][by]], 1)
-            cut = np.searchsorted(bucket[by], np.arange(buckets + 1, dtype=U64))
-            used = np.flatnonzero(np.diff(cut))
-            keys, blobs = used.tolist(), [_pack(rows[cut[i] : cut[i + 1]]) for i in used]
+            used, cut = np.unique(bucket[by], return_index=True)
+            keys, blobs = used.astype(np.int64).tolist(), [_pack(x) for x in np.split(rows, cut[1:])]
             if hot_row.any():
                 more = np.stack([sig[hot_row].view(np.int64), node[hot_row]], 1)
                 for lo in range(0, len(more), 1 << 16):
@@ -229,7 +257,7 @@ def index(docs: DataFrame, spec: Spec, bands: list[Band], hot: np.ndarray, bucke
                     keys.append(buckets + (int(more[lo][1]) + salt) % buckets)
                     blobs.append(_pack(more[lo : lo + (1 << 16)]))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "rows"])
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "rows"])
 
         for b in batches:
             data, offs = binary_parts(b.column(0))
@@ -262,8 +290,8 @@ def index(docs: DataFrame, spec: Spec, bands: list[Band], hot: np.ndarray, bucke
             part = rows[lo : lo + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[:, i])) for i in range(2)], ["sig", "node"])
 
-    sent = docs.select(utf8("text").alias("b")).mapInArrow(send, "bucket int, rows binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "sig long, node long")
+    sent = docs.select(utf8("text").alias("b")).mapInArrow(send, "bucket long, rows binary")
+    return sent.groupBy("bucket").applyInArrow(meet, "sig long, node long").distinct()
 
 
 def verify_pairs(pairs: DataFrame, spec: Spec) -> DataFrame:
@@ -337,27 +365,147 @@ def forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> l
     return out
 
 
-def verify_clusters(members: DataFrame, spec: Spec) -> DataFrame:
-    """(part, left, right, number, text): links between blocks left and right of a cluster."""
+def verify_blocks(members: DataFrame, spec: Spec) -> DataFrame:
+    """(cluster, side, text) to links (u, v) between the two sides of a cluster."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, block, seen = [], [], {}
-        left, right = key[1].as_py(), key[2].as_py()
+        sets, sides, seen = [], ([], []), {}
         for b in batches:
             data, offs = binary_parts(b.column("text"))
+            side = b.column("side").to_pylist()
             for lo, hi in slices(offs):
                 s, at = shingle_sets(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], spec.k)
                 fp = fingerprints(s, at)
                 for i in range(hi - lo):
-                    if seen.setdefault(int(fp[i]), len(sets)) == len(sets):
+                    if (k := seen.setdefault(int(fp[i]), len(sets))) == len(sets):
                         sets.append(s[at[i] : at[i + 1]])
-                        block.append(b.column("block")[lo + i].as_py())
-        names, block = list(seen), np.array(block)
-        a, b = np.flatnonzero(block == left), np.flatnonzero(block == right)
-        links = block_links(sets, a, b, spec) if len(a) and len(b) else []
+                    sides[side[lo + i]].append(k)
+        names, (x, y) = list(seen), (np.unique(np.array(z, np.int64)) for z in sides)
+        links = block_links(sets, x, y, spec) if len(x) and len(y) else []
         yield pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in links], pa.int64()), pa.array([names[j] for _, j in links], pa.int64())], ["u", "v"])
 
-    return members.groupBy("cluster", "left", "right").applyInArrow(run, "u long, v long")
+    return members.groupBy("cluster").applyInArrow(run, "u long, v long")
+
+
+def may_link(pairs: DataFrame, spec: Spec) -> DataFrame:
+    """(a, b, n_a, n_b, sketch_a, sketch_b) to the (a, b) that sketches do not tell apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n1, n2 = (b.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+            sides = [b.column(i).to_pylist() for i in (4, 5)]
+            w = np.array([[len(x) for x in side] for side in sides], np.int64).reshape(2, -1)
+            keep = np.zeros(b.num_rows, bool)
+            for w1, w2 in {*zip(*w.tolist(), strict=True)}:
+                rows = np.flatnonzero((w[0] == w1) & (w[1] == w2))
+                for lo in range(0, len(rows), 4096):
+                    at = rows[lo : lo + 4096]
+                    x, y = (folded([side[i] for i in at], min(w1, w2)) for side in sides)
+                    keep[at] = spec.linked((n1[at] + n2[at] - np.abs(x - y).sum(1)) // 2, n1[at], n2[at])
+            mask = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+def compare_blocks(members: DataFrame, spec: Spec) -> DataFrame:
+    """(sig, left, right, side, node, family, n, sketch) to what sketches let through between the sides, of different families.
+
+    kind 0: the pair (a, b); kind 1, where pairs would be many: the node a on side b of a cluster.
+    """
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        side, node, family, n, rows = [], [], [], [], []
+        for b in batches:
+            for c, out in (("side", side), ("node", node), ("family", family), ("n", n)):
+                out.append(b.column(c).to_numpy())
+            rows += b.column("sketch").to_pylist()
+        side, node, family, n = (np.concatenate(x) for x in (side, node, family, n))
+        n, own = n.astype(np.int64), bool((side == 2).any())
+        left, right = (np.arange(len(node)),) * 2 if own else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        found = [np.zeros((2, 0), np.int64)]
+        if len(left) and len(right):
+            width = min(map(len, rows))
+            x = np.empty((len(rows), width), np.int32)
+            for w in {len(r) for r in rows}:
+                at = [i for i, r in enumerate(rows) if len(r) == w]
+                x[at] = folded([rows[i] for i in at], width)
+            y = x[right]
+            for i in left.tolist():
+                ok = spec.linked((n[i] + n[right] - np.abs(y - x[i]).sum(1)) // 2, n[i], n[right]) & (family[right] != family[i])
+                if own:
+                    ok[: i + 1] = False
+                j = right[ok]
+                found.append(np.stack([np.full(len(j), i), j]))
+        i, j = np.concatenate(found, 1)
+        if len(i) <= 2 * len(node):
+            a, b, kind = np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.zeros(len(i), np.int32)
+        else:
+            i, j = np.unique(i), np.unique(j)
+            a, b, kind = np.concatenate([node[i], node[j]]), np.repeat([0, 1], [len(i), len(j)]), np.ones(len(i) + len(j), np.int32)
+        at = [pa.array([k.as_py()] * len(a), pa.int64()) for k in key]
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a, pa.int64()), pa.array(b, pa.int64()), *at], ["kind", "a", "b", "sig", "left", "right"])
+
+    return members.groupBy("sig", "left", "right").applyInArrow(run, "kind int, a long, b long, sig long, left long, right long")
+
+
+def block_members(rest: DataFrame, spec: Spec) -> DataFrame:
+    """Rows (sig, node, family, n, sketch) of large groups, once for each pair of blocks that they are compared in.
+
+    Blocks hold about spec.block nodes of one class of sizes; linked sets are of the same class or of neighbouring ones. Groups of the same
+    nodes count once.
+    """
+    ratio = math.log(100 / spec.percent) if spec.percent < 100 else 1.0
+    d = rest.withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / ratio + 1e-9).cast("int"))
+    same = rest.groupBy("sig").agg(F.count("*").alias("g"), F.sum(F.xxhash64("node") % 1_000_000_007).alias("x"), F.sum(F.xxhash64("node", F.lit(1)) % 1_000_000_007).alias("y"))
+    once = same.groupBy("g", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
+    blocks = d.groupBy("sig", "cls").agg(F.ceil(F.count("*") / spec.block).cast("int").alias("blocks")).join(once, "sig", "left_semi")
+    around = blocks.select("sig", F.explode(F.array(F.col("cls") - 1, "cls", F.col("cls") + 1)).alias("cls"), F.col("cls").alias("other"), "blocks")
+    around = around.groupBy("sig", "cls").agg(*(F.max(F.when(F.col("other") == F.col("cls") + k, F.col("blocks"))).alias(f"b{k + 1}") for k in (-1, 0, 1)))
+    d = d.join(around, ["sig", "cls"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("b1")).cast("int"))
+    code = lambda c, i: c.cast("long") * F.lit(1 << 32) + i
+    me = code(F.col("cls"), F.col("own"))
+    to = lambda blocks, make: F.when(F.col(blocks).isNull(), F.array().cast("array<struct<left:bigint,right:bigint,side:int>>")).otherwise(F.transform(F.sequence(F.lit(0), F.coalesce(F.col(blocks), F.lit(1)) - 1), make))
+    place = lambda left, right, side: F.struct(left.alias("left"), right.alias("right"), F.lit(side).cast("int").alias("side") if isinstance(side, int) else side.cast("int").alias("side"))
+    below = to("b0", lambda i: place(code(F.col("cls") - 1, i), me, 1))
+    above = to("b2", lambda i: place(me, code(F.col("cls") + 1, i), 0))
+    within = to("b1", lambda i: place(code(F.col("cls"), F.least(i, F.col("own"))), code(F.col("cls"), F.greatest(i, F.col("own"))), F.when(i == F.col("own"), 2).when(F.col("own") < i, 0).otherwise(1)))
+    return d.select("sig", "node", "family", "n", "sketch", F.explode(F.concat(below, within, above)).alias("at")).select("sig", "at.*", "node", "family", "n", "sketch")
+
+
+class Join:
+    """What the steps of a join share: nodes with their sketches, and texts on demand."""
+
+    def __init__(self, docs: DataFrame, spec: Spec, nodes: DataFrame):
+        self.spark, self.docs, self.spec = docs.sparkSession, docs, spec
+        self.reps = nodes.groupBy("node").agg(F.min("doc_id").alias("rep"))
+        self.sketches = nodes.select("node", "n", "sketch")
+
+    def texts(self, wanted: DataFrame) -> DataFrame:
+        """A stashed (node, text), a row for each of the wanted nodes."""
+        wanted = stash(wanted.distinct(), "wanted")
+        chosen = stash(wanted.join(self.reps, "node").select(F.col("rep").alias("doc_id")).distinct(), "chosen")
+        d, c = self.docs.alias("d"), chosen.alias("c")
+        own = with_node(d.join(c, F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")), "left_semi"), self.spec)
+        out = stash(own.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
+        unstash(self.spark, wanted, chosen)
+        return out
+
+    def sketched(self, rows: DataFrame) -> DataFrame:
+        """A stashed rows(node, ...) with n and sketch."""
+        s = self.sketches.join(rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+        return stash(rows.join(s, "node"), "sketched")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """A stashed (u, v) of the pairs (a, b) that are linked."""
+        s = stash(self.sketches.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").dropDuplicates(["node"]), "sketches")
+        one, two = (s.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+        near = stash(may_link(pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b"), self.spec), "near")
+        texts = self.texts(near.select(F.explode(F.array("a", "b")).alias("node")))
+        one, two = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+        links = stash(verify_pairs(near.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b"), self.spec), "links")
+        unstash(self.spark, s, near, texts)
+        return links
 
 
 def jaccard_components(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
@@ -365,70 +513,84 @@ def jaccard_components(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     told = stash(describe(docs, spec), "sets")
-    nodes = told.filter("kind = 0").select("doc_id", "n", "node")
-    octaves = nodes.filter("n > 0").groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count("*").alias("c"), F.max("n").alias("m")).collect()
+    nodes = told.filter("kind = 0").select("doc_id", "n", "node", "sketch")
+    octaves = nodes.filter("n > 0").groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count("*").alias("c"), F.max("n").alias("m"), F.sum("n").alias("s")).collect()
     counts, limit = {int(r["k"]): int(r["c"]) for r in octaves}, max((r["m"] for r in octaves), default=1)
-    least = max(32, spec.hot_share * sum(counts.values()))
-    hot = told.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("node").collect()  # average size / hot_share at most
+    total, all_shingles = sum(counts.values()), sum(int(r["s"]) for r in octaves)
+    frequent = told.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("n"))
+    agree = float(frequent.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0) / max(1.0, float(total) * all_shingles)
+    hot = frequent.filter(F.col("n") >= max(32, spec.hot_share * total)).select("node").collect()  # average size / hot_share at most
     hot_set = np.array([r[0] for r in hot], np.int64).view(U64)
-    buckets = max(16, min(20_000, input_bytes(docs) // (3 << 20)))
-    cand = stash(index(docs, spec, make_bands(spec, counts, limit), hot_set, buckets), "signatures")
-
-    sizes = cand.groupBy("sig").agg(F.count("*").alias("g"), F.min("node").alias("pivot"))
-    sized = cand.join(sizes, "sig")
-    few = sized.filter(F.col("g") <= spec.small).groupBy("sig").agg(F.collect_list("node").alias("x"))  # spec.small at most
-    pairs = stash(few.select("x").mapInArrow(_pairs_of, "a long, b long").distinct(), "pairs")
-    stars = stash(sized.filter((F.col("g") > spec.small) & (F.col("node") != F.col("pivot"))).select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct(), "stars")
-
-    reps = nodes.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    clusters = stash(connected_components(stars), "clusters")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(clusters.select("node")).distinct()
-    chosen = wanted.join(reps, "node").select("node", "rep")
-    texts = docs.alias("d").join(chosen.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.rep"))).select("c.node", utf8("d.text").alias("text"))
-    # Where an id repeats with other texts, the text must be the node's own.
-    texts = stash(_own_text(texts, spec).dropDuplicates(["node"]), "texts")
-    ta, tb = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    links = verify_pairs(pairs.join(ta, "a").join(tb, "b").select("a", "b", "text_a", "text_b"), spec)
-
-    spans = clusters.groupBy("root").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / spec.block).cast("int"))
-    placed = clusters.join(spans, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = placed.select("node", "root", "block", other.alias("o")).join(texts, "node")
-    placed = placed.select(F.col("root").alias("cluster"), F.least("block", "o").alias("left"), F.greatest("block", "o").alias("right"), "block", "text")
-    links = stash(links.unionByName(verify_clusters(placed, spec)), "links")
-    unstash(spark, cand, pairs, stars, texts)
-
-    roots = stash(connected_components(links), "roots")
-    named = roots.join(reps, "node").groupBy("root").agg(F.min("rep").alias("component"))
-    final = reps.join(roots, "node", "left").join(named, "root", "left").select("node", F.coalesce("component", "rep").alias("component_id"), F.coalesce("root", "node").alias("group"))
+    cand = stash(index(docs, spec, make_bands(spec, counts, limit, agree), hot_set, bucket_count(input_bytes(docs))), "signatures")
+
+    join = Join(docs, spec, nodes)
+    pivots = cand.groupBy("sig").agg(F.min("node").alias("pivot"))
+    stars = stash(cand.join(pivots, "sig").filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    links = join.verified(stars)
+    families = connected_components(links)
+    unstash(spark, stars, links)
+
+    rest = cand.join(families, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("family"))
+    mixed = rest.groupBy("sig").agg(F.count("*").alias("g"), F.min("family").alias("x"), F.max("family").alias("y")).filter("x <> y AND g > 2").select("sig", "g")
+    rest = stash(rest.join(mixed, "sig"), "rest")
+    few = rest.filter(F.col("g") <= spec.small).groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("family", "node"))).alias("x"))  # spec.small at most
+    many = join.sketched(rest.filter(F.col("g") > spec.small).select("sig", "node", "family"))
+    through = stash(compare_blocks(block_members(many, spec), spec), "blocks")
+    pairs = few.select("x").distinct().select(F.col("x.family").alias("family"), F.col("x.node").alias("node")).mapInArrow(_pairs_of, "a long, b long")
+    pairs = stash(pairs.unionByName(through.filter("kind = 0").select("a", "b")).distinct(), "pairs")
+    late = [join.verified(pairs)] if pairs.take(1) else []
+    dense = through.filter("kind = 1").select(F.xxhash64("sig", "left", "right").alias("cluster"), F.col("b").cast("int").alias("side"), F.col("a").alias("node"))
+    if dense.take(1):
+        texts = join.texts(dense.select("node"))
+        late.append(stash(verify_blocks(dense.join(texts, "node").select("cluster", "side", "text"), spec), "links"))
+        unstash(spark, texts)
+    unstash(spark, cand, rest, many, through, pairs)
+
+    roots = families
+    if late:  # links between families: their components are those of all
+        edges = late[0] if len(late) == 1 else late[0].unionByName(late[1])
+        ends = edges.join(families.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left").join(families.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left")
+        joined = connected_components(ends.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v")))
+        inner = families.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        roots = stash(inner.unionByName(joined.join(families.select("node"), "node", "left_anti").select("node", "root")), "roots")
+        unstash(spark, families, joined, *late)
+
+    named = roots.join(join.reps, "node").groupBy("root").agg(F.min("rep").alias("component"))
+    final = join.reps.join(roots, "node", "left").join(named, "root", "left").select("node", F.coalesce("component", "rep").alias("component_id"), F.coalesce("root", "node").alias("group"))
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return nodes.join(final, "node").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "node", "group")
+    out = stash(nodes.join(final, "node").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "node", "group"), "found")
+    unstash(spark, told, roots)
+    return out
 
 
 def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of different families of lists (family, node) of spec.small entries at most."""
     for batch in batches:
-        at, node = batch.column(0).offsets.to_numpy(), batch.column(0).values.to_numpy()
+        at, family, node = batch.column(0).offsets.to_numpy(), batch.column(0).values.to_numpy(), batch.column(1).values.to_numpy()
         out = [np.zeros((0, 2), np.int64)]
         for g in np.unique(np.diff(at)):
             first = at[:-1][np.diff(at) == g]
             i, j = np.triu_indices(int(g), 1)
-            x, y = node[(first[:, None] + i).ravel()], node[(first[:, None] + j).ravel()]
-            out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y])
+            p, q = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
+            x, y = node[p], node[q]
+            out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[family[p] != family[q]])
         rows = np.unique(np.concatenate(out), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in (0, 1)], ["a", "b"])
 
 
-def _own_text(texts: DataFrame, spec: Spec) -> DataFrame:
+def with_node(docs: DataFrame, spec: Spec) -> DataFrame:
+    """docs(doc_id, text) to (node, text); texts without words have none."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offs = binary_parts(b.column(1))
-            fp = [fingerprints(*shingle_sets(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], spec.k)) for lo, hi in slices(offs)]
-            same = np.concatenate(fp) == b.column(0).to_numpy() if fp else np.zeros(0, bool)
-            yield b.filter(pa.array(same))
+            data, offs = binary_parts(b.column(0))
+            for lo, hi in slices(offs):
+                s, at = shingle_sets(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], spec.k)
+                has = pa.array(np.diff(at) > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(fingerprints(s, at)).filter(has), b.column(0).slice(lo, hi - lo).filter(has)], ["node", "text"])
 
-    return texts.mapInArrow(run, texts.schema)
+    return docs.select(utf8("text").alias("b")).mapInArrow(run, "node long, text binary")
 
 
 def query(docs: DataFrame) -> DataFrame:
     return jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
-

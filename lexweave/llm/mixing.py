@@ -7,7 +7,7 @@ it is (total - caps before) / (weights from here on), at the first place where t
 
 A source's target, as whole words, is w whole repetitions of every document plus a remainder. The remainder goes to
 the documents in the order of a seeded digest of their ids; the last of them gives a fraction of itself. The order is found without sorting
-a source: 4096 ranges of digests are summed before the shuffle, and only the range where the remainder ends is sorted.
+a source: ranges of digests (4,096, more with more rows) are summed before the shuffle, and only the range where the remainder ends is sorted.
 
 Defined cases: null and empty texts have size 0 and nothing is taken of them; a source of no words has target 0; null
 is a source of its own; equal ids of one source are ordered by size, and equal rows are interchangeable; an empty table gives no rows; other columns are ignored.
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import stash, unstash
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -43,43 +43,55 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_
     return t.select("source", "source_size", "weight", F.least(F.col("cap"), F.coalesce(final * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix", carry: tuple[str, ...] = (), most_sources: int = 100_000) -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words, repeats counted) of every row of docs(doc_id, text, source).
 
-    carry: further columns of docs that the rows keep, in column `row`.
+    carry: further columns of docs that the rows keep, in column `row`; rows that carry them move only in the one range of a source
+    where its remainder ends. most_sources: the table of sources, a short row each, is broadcast up to this number, else joined.
     """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     sizes = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *([F.struct(*carry).alias("row")] if carry else []))
     if not carry:
         sizes = stash(sizes, "sizes")
     row = ["row"] if carry else []
-    d = sizes.withColumn("u", digest)
-    d = d.withColumn("part", F.substring("u", 1, 3))
+    n, digits = sizes.select("doc_id").count(), 3
+    while n >> 4 * digits > 1 << 16:
+        digits += 1
+    d = sizes.withColumn("u", digest).withColumn("part", F.substring("u", 1, digits))
     parts = stash(d.groupBy("source", "part").agg(F.sum("size").alias("part_size")), "parts")
-    targets = source_targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights, max_epochs)
+    totals = parts.groupBy("source").agg(F.sum("part_size").alias("source_size"))
+    targets = source_targets(totals, weights, max_epochs)
     whole = F.least(F.round("target").cast("long"), F.col("source_size") * max_epochs)
     targets = targets.withColumn("words", whole).withColumn("reps", F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(0).cast("long"))
     targets = targets.withColumn("rest", F.col("words") - F.col("reps") * F.col("source_size"))
     run = F.sum("part_size").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow))
     p, t = parts.withColumn("upto", run).alias("p"), targets.alias("t")
-    plan = p.join(t, F.col("p.source").eqNullSafe(F.col("t.source"))).select(
-        F.col("p.source").alias("source"), "part", (F.col("upto") - F.col("part_size")).alias("start"), "upto", "source_size", "target", "reps", "rest"
-    )
-    d = d.alias("d").join(plan.alias("q"), F.expr("d.source <=> q.source AND d.part = q.part"))
-    d = d.select("d.doc_id", "d.source", "size", *row, "u", "d.part", "start", "upto", "source_size", "target", "reps", "rest")
-    cut = (F.col("start") < F.col("rest")) & (F.col("rest") < F.col("upto"))
-    clear = d.filter(~cut).withColumn("extra", F.when(F.col("upto") <= F.col("rest"), F.col("size")).otherwise(F.lit(0)))
+    start = F.col("upto") - F.col("part_size")
+    cut = (start < F.col("rest")) & (F.col("rest") < F.col("upto"))
+    ends = p.join(t, F.col("p.source").eqNullSafe(F.col("t.source"))).groupBy("p.source", "t.source_size", "target", "reps", "rest")
+    plan = stash(ends.agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("part"))).alias("last_part"), F.max(F.when(cut, F.col("part"))).alias("cut_part"), F.max(F.when(cut, start)).alias("start")), "plan")
+    unstash(docs.sparkSession, parts)
+    small = F.broadcast(plan) if plan.count() <= most_sources else plan
+    d = d.alias("d").join(small.alias("q"), F.expr("d.source <=> q.source")).select("d.doc_id", "d.source", "size", *row, "u", "d.part", "last_part", "cut_part", "start", "source_size", "target", "reps", "rest")
+    at_cut = F.coalesce(F.col("part") == F.col("cut_part"), F.lit(False))
+    clear = d.filter(~at_cut).withColumn("extra", F.when(F.col("part") <= F.col("last_part"), F.col("size")).otherwise(F.lit(0)))
     within = W.partitionBy("source", "part").orderBy("u", "size").rowsBetween(W.unboundedPreceding, -1)
     at = F.col("start") + F.coalesce(F.sum("size").over(within), F.lit(0))
-    split = d.filter(cut).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - at)))
+    split = d.filter(at_cut).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - at)))
     taken = (F.col("reps") * F.col("size") + F.col("extra")).cast("long")
     return clear.unionByName(split).select("doc_id", "source", F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", taken.alias("taken"), *row)
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix") -> DataFrame:
-    """The documents that the mix takes, whole, with size, source_size, target and taken."""
+    """The documents that the mix takes, whole, with size, source_size, target and taken; where docs has such a column, the mix's own is named mix_NAME."""
     m = mix_sources(docs, weights, max_epochs, seed, carry=tuple(docs.columns)).filter("taken > 0")
-    new = [c for c in ("size", "source_size", "target", "taken") if c not in docs.columns]
+    names = {c.lower() for c in docs.columns}
+    new = []
+    for c in ("size", "source_size", "target", "taken"):
+        name = c
+        while name.lower() in names:
+            name = f"mix_{name}"
+        new.append(F.col(c).alias(name))
     return m.select(*[F.col("row")[c].alias(c) for c in docs.columns], *new)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import stash
+from .common import stash, unstash
 from .jaccard_join import Spec, fingerprints, jaccard_components, shingle_sets
 from .textops import binary_parts, slices
 
@@ -40,14 +40,19 @@ def with_node(docs: DataFrame, k: int) -> DataFrame:
 
 
 def dedup(docs: DataFrame, spec: Spec = Spec(k=5, percent=80)) -> DataFrame:
-    found = stash(jaccard_components(docs, spec).filter("n_shingles > 0"), "found")
-    rows = found.groupBy("doc_id", "node", "group").agg(F.count("*").alias("copies"))
+    found = jaccard_components(docs, spec)
+    rows = found.filter("n_shingles > 0").groupBy("doc_id", "node", "group").agg(F.count("*").alias("copies"))
     first = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("f")).select("group", F.col("f.doc_id").alias("keep_id"), F.col("f.node").alias("keep_node"))
     marks = rows.join(first, "group").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("node") == F.col("keep_node")))
     marks = stash(marks.filter("NOT kept OR copies > 1").select(F.col("doc_id").alias("m_id"), F.col("node").alias("m_node"), "kept"), "marks")
-    d, key = with_node(docs, spec.k), [F.col(NODE) == F.col("m_node"), F.col("doc_id").cast("long").eqNullSafe(F.col("m_id"))]
+    unstash(docs.sparkSession, found)
+    names = {c.lower() for c in docs.columns}
+    tag = lambda c: c if c not in names else tag(f"_{c}")
+    m_id, m_node = tag("m_id"), tag("m_node")
+    marks = marks.select(F.col("m_id").alias(m_id), F.col("m_node").alias(m_node), F.col("kept").alias(tag("kept")))
+    d, key = with_node(docs, spec.k), [F.col(NODE) == F.col(m_node), F.col("doc_id").cast("long").eqNullSafe(F.col(m_id))]
     clear = d.join(marks, key, "left_anti").select(*docs.columns)
-    again = marks.filter("kept")
+    again = marks.filter(F.col(tag("kept")))
     if not again.take(1):
         return clear
     one = F.row_number().over(W.partitionBy("doc_id", NODE).orderBy(F.xxhash64("text"))).alias("nth")

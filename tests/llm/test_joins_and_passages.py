@@ -78,7 +78,7 @@ def test_components_equal_brute_force(spark, rows, spec):
 def test_no_allocation_loses_a_pair():
     rng = np.random.default_rng(0)
     for percent in (70, 80, 90):
-        spec = jaccard_join.Spec(percent=percent, cold_from=0)
+        spec = jaccard_join.Spec(percent=percent)
         for counts in ({}, {k: 10**9 for k in range(12)}):
             bands = jaccard_join.make_bands(spec, counts, 400)
             for hot_part in (0.0, 0.3, 0.7, 1.0):
@@ -97,7 +97,7 @@ def test_no_allocation_loses_a_pair():
 
 def test_empty_segments_with_neighbourhoods_take_two_units():
     spec, plan = jaccard_join.Spec(k=5, percent=80), (5, 2, 2)
-    bands = [jaccard_join.Band(14, 17, 4, (plan, plan)), jaccard_join.Band(18, 22, 5, ((6, 0, 0), (6, 0, 0)))]
+    bands = [jaccard_join.Band(14, 17, 4, 8, (plan, plan)), jaccard_join.Band(18, 22, 5, 10, ((6, 0, 0), (6, 0, 0)))]
     some = np.random.default_rng(3).integers(1, 2**63, 400, dtype=np.uint64)
     seg = jaccard_join.mix64(some ^ np.uint64(0xA24BAED4963EE407)) % np.uint64(5)
     of = [some[seg == i] for i in range(5)]
