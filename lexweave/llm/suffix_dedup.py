@@ -1,17 +1,20 @@
-"""Repeated passages, by a difference cover to the depth of a passage.
+"""Repeated passages, by a difference cover to the depth of a passage, over hashes in place of ranks.
 
 The difference-cover method sorts the suffixes at sampled places (places modulo v in a set D whose differences give every
 residue), names them, treats further only those whose names repeat, and settles the remaining suffixes through a sampled place at a common
-distance. Here suffixes are compared to a depth of `length` = 200 bytes only, which is all that the comparison of neighbours asks for, and v = 133
-with the 12 places of a perfect difference set in place of 3 with 2, so that 9 % of the places are sorted instead of 67 %:
+distance. Taken here are the cover, the names, the recursion on names that repeat and the merge through a common distance; not taken is the
+lexicographic order: names are hashes, sorted over ranges of hashes, and neighbours in that order are compared for equality, which is
+all that repeats of a fixed length need. Strings are compared to a depth of `length` = 200 bytes, and v = 133
+with the 12 places of a perfect difference set in place of 3 with 2, so that 9 % of the places are named instead of 67 %:
 
-1. the sampled tuples, of length - v + 1 = 68 bytes, are sorted over ranges of their names (fingerprints), and every
+1. the sampled tuples, of length - v + 1 = 68 bytes, are sorted over ranges of their names, and every
    chunk of texts hears which of its names stand anywhere else; a name that stands once ends there;
 2. two equal strings of 200 bytes have a sampled place at one distance below 133 from both starts, whose tuples are equal.
    So only starts up to 132 bytes before a repeated name remain; for these, names of the full 200 bytes are sorted in the
    same way, and equal neighbours are repeats.
 
-Whole texts that occur again are settled in step 1 (their first copy answers for all in step 2).
+Whole texts that occur again are settled in step 1 (their first copy answers for all in step 2). Chunks and buckets grow with the input, so
+that the number of messages between them stays in proportion to the keys.
 
 Defined cases: null is empty; texts under 200 bytes keep all; texts are judged on the input, bytes are removed whatever character they
 cut; null and repeated ids are kept; an empty table gives no rows; other columns are ignored. Equality of 200-byte strings and of
@@ -21,6 +24,7 @@ whole texts is that of 64-bit fingerprints; the 40 bits of step 1 only choose wh
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import conf_set, input_bytes, stash, unstash
+from .common import bucket_count, chunk_size, conf_set, input_bytes, stash, unstash, utf8
 from .packed import PACKED, answered, answers, asks, heard, pack, unpacked
 from .textops import U64, Rolling
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, crc long, kept binary"
 OPEN = f"{PACKED}, starts array<long>, ends array<long>, copied array<boolean>, done array<struct<{RESULT.replace(' ', ':').replace(',:', ',')}>>"
 SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "8"}
 
@@ -154,15 +158,14 @@ def _settle(cover: Cover, buckets: int, keep: bool):
             if near[lo:hi].any():
                 left.append((d, lo, hi, copied))
             elif copied:
-                done.append((ids[d], hi - lo, hi - lo, 1, hashlib.sha256().hexdigest(), b"" if keep else None))
-            else:
-                whole = data[lo:hi].tobytes()
-                done.append((ids[d], hi - lo, 0, 0, hashlib.sha256(whole).hexdigest(), whole if keep else None))
+                done.append((ids[d], hi - lo, hi - lo, 1, hashlib.sha256().hexdigest(), zlib.crc32(data[lo:hi]) if keep else None, b"" if keep else None))
+            elif not keep:
+                done.append((ids[d], hi - lo, 0, 0, hashlib.sha256(data[lo:hi]).hexdigest(), None, None))
         body = np.concatenate([data[lo:hi] for _, lo, hi, _ in left]) if left else np.zeros(0, np.uint8)
         starts, ends = runs(np.concatenate([near[lo:hi] for _, lo, hi, _ in left]) if left else np.zeros(0, bool))
         cols = {
             "chunk": [b.column("chunk")[i].as_py()], "ids": [[ids[d] for d, *_ in left]], "lens": [[hi - lo for _, lo, hi, _ in left]], "data": [body.tobytes()],
-            "starts": [starts], "ends": [ends], "copied": [[c for *_, c in left]], "done": [[dict(zip(("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"), x, strict=True)) for x in done]],
+            "starts": [starts], "ends": [ends], "copied": [[c for *_, c in left]], "done": [[dict(zip((n for n, _ in ARROW_RESULT), x, strict=True)) for x in done]],
         }
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols.values(), ARROW_OPEN, strict=True)], list(cols))
 
@@ -170,7 +173,7 @@ def _settle(cover: Cover, buckets: int, keep: bool):
 
 
 _longs = pa.list_(pa.int64())
-ARROW_RESULT = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]
+ARROW_RESULT = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("crc", pa.int64()), ("kept", pa.binary())]
 ARROW_OPEN = [pa.int64(), _longs, _longs, pa.binary(), _longs, _longs, pa.list_(pa.bool_()), pa.list_(pa.struct(ARROW_RESULT))]
 
 
@@ -215,7 +218,8 @@ def _remove(cover: Cover, buckets: int, keep: bool):
                 rows = []
                 for doc, lo, hi in zip(b.column("ids")[i].as_py(), offs[:-1].tolist(), offs[1:].tolist(), strict=True):
                     kept = data[lo:hi][~gone[lo:hi]].tobytes()
-                    rows.append((doc, hi - lo, hi - lo - len(kept), len(runs(gone[lo:hi])[0]), hashlib.sha256(kept).hexdigest(), kept if keep else None))
+                    if not keep or len(kept) < hi - lo:
+                        rows.append((doc, hi - lo, hi - lo - len(kept), len(runs(gone[lo:hi])[0]), hashlib.sha256(kept).hexdigest(), zlib.crc32(data[lo:hi]) if keep else None, kept if keep else None))
                 cols = zip(*rows, strict=True) if rows else [[]] * len(ARROW_RESULT)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, ARROW_RESULT, strict=True)], [n for n, _ in ARROW_RESULT])
 
@@ -223,34 +227,39 @@ def _remove(cover: Cover, buckets: int, keep: bool):
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, keep: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, the kept bytes of every row of docs(doc_id, text)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs(doc_id, text); with `keep` only of those that lose bytes, and crc of the text and the kept bytes."""
     spark, cover = docs.sparkSession, Cover(length)
-    buckets = max(16, min(100_000, input_bytes(docs.select("text")) // (4 << 20)))
+    size = input_bytes(docs.select("text"))
+    buckets = bucket_count(size)
     with conf_set(spark, **SMALL_BATCHES, **{"spark.sql.parquet.compression.codec": "zstd"}):
         with conf_set(spark, **{"spark.sql.execution.arrow.maxRecordsPerBatch": "4096"}):
-            chunks = stash(pack(docs), "chunks")
+            chunks = stash(pack(docs, chunk_size(size)), "chunks")
         told = stash(answers(asks(chunks, _names(cover), buckets, ["chunk", "ids", "lens", "data"])), "names")
         left = stash(answered(chunks, told).mapInArrow(_settle(cover, buckets, keep), OPEN), "open")
         unstash(spark, chunks, told)
         open_only = left.select("chunk", "ids", "lens", "data", "starts", "ends", "copied").filter(F.size("ids") > 0)
         told = stash(answers(asks(open_only, _starts(cover), buckets, open_only.columns)), "starts")
-        late = stash(answered(open_only, told).mapInArrow(_remove(cover, buckets, keep), RESULT), "removed")
-        unstash(spark, told)
-    done = left.select(F.explode("done").alias("d")).select("d.*")
-    return done.unionByName(late)
+        late = answered(open_only, told).mapInArrow(_remove(cover, buckets, keep), RESULT)
+        done = left.select(F.explode("done").alias("d")).select("d.*")
+        out = stash(done.unionByName(late), "removed")
+        unstash(spark, left, told)
+    return out if keep else out.drop("crc", "kept")
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return remove_repeats(docs).drop("kept")
+    return remove_repeats(docs)
 
 
 def dedup(docs: DataFrame, length: int = 200) -> DataFrame:
-    """docs without their repeated passages: whole characters go, n_chars follows where the column is there; every row stays."""
-    rid = "__row_of_text__"
-    rows = stash(docs.withColumn(rid, F.monotonically_increasing_id()), "rows")
-    kept = remove_repeats(rows.select(F.col(rid).alias("doc_id"), "text"), length, keep=True).filter("n_removed > 0").select(F.col("doc_id").alias(rid), F.col("kept").alias("__kept__"))
-    text = F.when(F.col("__kept__").isNull(), F.col("text")).otherwise(F.col("__kept__").cast("string"))
-    out = rows.join(kept, rid, "left").withColumn("text", text)
+    """docs without their repeated passages: whole characters go, n_chars follows where the column is there; every row stays.
+
+    What goes of a text depends on the text and the table only, so changed texts are tied to their rows by two hashes and the length.
+    """
+    key, hashes = ["__hash__", "__crc__", "__bytes__"], [F.xxhash64(utf8("text")), F.crc32(utf8("text")), F.octet_length(utf8("text")).cast("long")]
+    found = remove_repeats(docs.select(hashes[0].alias("doc_id"), "text"), length, keep=True)
+    kept = found.groupBy(F.col("doc_id").alias(key[0]), F.col("crc").alias(key[1]), F.col("n_bytes").alias(key[2])).agg(F.first("kept").alias("__kept__"))
+    out = docs.withColumns(dict(zip(key, hashes, strict=True))).join(kept, key, "left")
+    out = out.withColumn("text", F.when(F.col("__kept__").isNull(), F.col("text")).otherwise(F.col("__kept__").cast("string")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__kept__").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
