@@ -202,6 +202,16 @@ def _pack(pairs: np.ndarray) -> bytes:
     return pairs.tobytes()
 
 
+def folded_all(rows: list[bytes]) -> np.ndarray:
+    """Sketches of any widths as rows of the least of these."""
+    width = min(map(len, rows))
+    out = np.empty((len(rows), width), np.int32)
+    for w in {len(r) for r in rows}:
+        at = [i for i, r in enumerate(rows) if len(r) == w]
+        out[at] = folded([rows[i] for i in at], width)
+    return out
+
+
 def describe(docs: DataFrame, spec: Spec) -> DataFrame:
     """kind 0: doc_id, set size n, node, sketch; kind 1: a shingle (node) frequent among n different sets of one stretch."""
 
@@ -425,11 +435,7 @@ def compare_blocks(members: DataFrame, spec: Spec) -> DataFrame:
         left, right = (np.arange(len(node)),) * 2 if own else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
         found = [np.zeros((2, 0), np.int64)]
         if len(left) and len(right):
-            width = min(map(len, rows))
-            x = np.empty((len(rows), width), np.int32)
-            for w in {len(r) for r in rows}:
-                at = [i for i, r in enumerate(rows) if len(r) == w]
-                x[at] = folded([rows[i] for i in at], width)
+            x = folded_all(rows)
             y = x[right]
             for i in left.tolist():
                 ok = spec.linked((n[i] + n[right] - np.abs(y - x[i]).sum(1)) // 2, n[i], n[right]) & (family[right] != family[i])
@@ -452,14 +458,11 @@ def compare_blocks(members: DataFrame, spec: Spec) -> DataFrame:
 def block_members(rest: DataFrame, spec: Spec) -> DataFrame:
     """Rows (sig, node, family, n, sketch) of large groups, once for each pair of blocks that they are compared in.
 
-    Blocks hold about spec.block nodes of one class of sizes; linked sets are of the same class or of neighbouring ones. Groups of the same
-    nodes count once.
+    Blocks hold about spec.block nodes of one class of sizes; linked sets are of the same class or of neighbouring ones.
     """
     ratio = math.log(100 / spec.percent) if spec.percent < 100 else 1.0
     d = rest.withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / ratio + 1e-9).cast("int"))
-    same = rest.groupBy("sig").agg(F.count("*").alias("g"), F.sum(F.xxhash64("node") % 1_000_000_007).alias("x"), F.sum(F.xxhash64("node", F.lit(1)) % 1_000_000_007).alias("y"))
-    once = same.groupBy("g", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
-    blocks = d.groupBy("sig", "cls").agg(F.ceil(F.count("*") / spec.block).cast("int").alias("blocks")).join(once, "sig", "left_semi")
+    blocks = d.groupBy("sig", "cls").agg(F.ceil(F.count("*") / spec.block).cast("int").alias("blocks"))
     around = blocks.select("sig", F.explode(F.array(F.col("cls") - 1, "cls", F.col("cls") + 1)).alias("cls"), F.col("cls").alias("other"), "blocks")
     around = around.groupBy("sig", "cls").agg(*(F.max(F.when(F.col("other") == F.col("cls") + k, F.col("blocks"))).alias(f"b{k + 1}") for k in (-1, 0, 1)))
     d = d.join(around, ["sig", "cls"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("b1")).cast("int"))
@@ -496,15 +499,20 @@ class Join:
         s = self.sketches.join(rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
         return stash(rows.join(s, "node"), "sketched")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """A stashed (u, v) of the pairs (a, b) that are linked."""
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """A stashed (a, b) of the pairs that sketches let through."""
         s = stash(self.sketches.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").dropDuplicates(["node"]), "sketches")
         one, two = (s.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-        near = stash(may_link(pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b"), self.spec), "near")
+        out = stash(may_link(pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b"), self.spec), "near")
+        unstash(self.spark, s)
+        return out
+
+    def verified(self, near: DataFrame) -> DataFrame:
+        """A stashed (u, v) of the pairs (a, b) that are linked."""
         texts = self.texts(near.select(F.explode(F.array("a", "b")).alias("node")))
         one, two = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
         links = stash(verify_pairs(near.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b"), self.spec), "links")
-        unstash(self.spark, s, near, texts)
+        unstash(self.spark, texts)
         return links
 
 
@@ -526,25 +534,27 @@ def jaccard_components(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
     join = Join(docs, spec, nodes)
     pivots = cand.groupBy("sig").agg(F.min("node").alias("pivot"))
     stars = stash(cand.join(pivots, "sig").filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    links = join.verified(stars)
+    near = join.near(stars)
+    unstash(spark, stars)
+    links = join.verified(near)
     families = connected_components(links)
-    unstash(spark, stars, links)
+    unstash(spark, near, links)
 
     rest = cand.join(families, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("family"))
-    mixed = rest.groupBy("sig").agg(F.count("*").alias("g"), F.min("family").alias("x"), F.max("family").alias("y")).filter("x <> y AND g > 2").select("sig", "g")
-    rest = stash(rest.join(mixed, "sig"), "rest")
-    few = rest.filter(F.col("g") <= spec.small).groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("family", "node"))).alias("x"))  # spec.small at most
-    many = join.sketched(rest.filter(F.col("g") > spec.small).select("sig", "node", "family"))
-    through = stash(compare_blocks(block_members(many, spec), spec), "blocks")
-    pairs = few.select("x").distinct().select(F.col("x.family").alias("family"), F.col("x.node").alias("node")).mapInArrow(_pairs_of, "a long, b long")
-    pairs = stash(pairs.unionByName(through.filter("kind = 0").select("a", "b")).distinct(), "pairs")
+    # Groups of several families; those of the same nodes count once.
+    seen = F.struct(F.sum(F.xxhash64("node") % 1_000_000_007), F.sum(F.xxhash64("node", F.lit(1)) % 1_000_000_007)).alias("seen")
+    mixed = rest.groupBy("sig").agg(F.count("*").alias("g"), F.min("family").alias("x"), F.max("family").alias("y"), seen).filter("x <> y AND g > 2")
+    rest = join.sketched(rest.join(mixed.groupBy("g", "seen").agg(F.min("sig").alias("sig")).select("sig", "g"), "sig"))
+    few = rest.filter(F.col("g") <= spec.small).groupBy("sig").agg(F.collect_list(F.struct("node", "family", "n", "sketch")).alias("x"))  # spec.small at most
+    through = stash(compare_blocks(block_members(rest.filter(F.col("g") > spec.small).drop("g"), spec), spec), "blocks")
+    pairs = stash(compare_lists(few.select("x"), spec).unionByName(through.filter("kind = 0").select("a", "b")).distinct(), "pairs")
     late = [join.verified(pairs)] if pairs.take(1) else []
     dense = through.filter("kind = 1").select(F.xxhash64("sig", "left", "right").alias("cluster"), F.col("b").cast("int").alias("side"), F.col("a").alias("node"))
     if dense.take(1):
         texts = join.texts(dense.select("node"))
         late.append(stash(verify_blocks(dense.join(texts, "node").select("cluster", "side", "text"), spec), "links"))
         unstash(spark, texts)
-    unstash(spark, cand, rest, many, through, pairs)
+    unstash(spark, cand, rest, through, pairs)
 
     roots = families
     if late:  # links between families: their components are those of all
@@ -563,19 +573,31 @@ def jaccard_components(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
     return out
 
 
-def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different families of lists (family, node) of spec.small entries at most."""
-    for batch in batches:
-        at, family, node = batch.column(0).offsets.to_numpy(), batch.column(0).values.to_numpy(), batch.column(1).values.to_numpy()
-        out = [np.zeros((0, 2), np.int64)]
-        for g in np.unique(np.diff(at)):
-            first = at[:-1][np.diff(at) == g]
-            i, j = np.triu_indices(int(g), 1)
-            p, q = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
-            x, y = node[p], node[q]
-            out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[family[p] != family[q]])
-        rows = np.unique(np.concatenate(out), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in (0, 1)], ["a", "b"])
+def compare_lists(groups: DataFrame, spec: Spec) -> DataFrame:
+    """Lists (node, family, n, sketch) of spec.small entries at most to the pairs (a, b) of different families that sketches let through.
+
+    The smallest node's pairs have been verified as the group's star.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, items = batch.column(0).offsets.to_numpy(), batch.column(0).values
+            node, family, n = (items.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            rows = items.field(3).to_pylist()
+            out = [np.zeros((0, 2), np.int64)]
+            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                x = folded_all(rows[lo:hi])
+                i, j = np.triu_indices(hi - lo, 1)
+                own, least = slice(lo, hi), node[lo:hi].min()
+                keep = (family[own][i] != family[own][j]) & (node[own][i] != least) & (node[own][j] != least)
+                i, j = i[keep], j[keep]
+                ok = spec.linked((n[own][i] + n[own][j] - np.abs(x[i] - x[j]).sum(1)) // 2, n[own][i], n[own][j])
+                p, q = node[own][i[ok]], node[own][j[ok]]
+                out.append(np.stack([np.minimum(p, q), np.maximum(p, q)], 1))
+            found = np.unique(np.concatenate(out), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in (0, 1)], ["a", "b"])
+
+    return groups.mapInArrow(run, "a long, b long")
 
 
 def with_node(docs: DataFrame, spec: Spec) -> DataFrame:
