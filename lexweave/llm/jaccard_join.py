@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, input_bytes, stash, unstash, utf8
+from .common import bucket_count, conf_set, input_bytes, stash, unstash, utf8
 from .components import connected_components
 from .textops import LOWER, U64, Rolling, binary_parts, mix64, shingles, slices, word_spans
 
@@ -279,7 +279,7 @@ def index(docs: DataFrame, spec: Spec, bands: list[Band], hot: np.ndarray, bucke
                     if at[i + 1] > at[i] and len(sig := signer.of(sets[at[i] : at[i + 1]])):
                         held.append((sig, np.full(len(sig), fp[i])))
                         held_n += len(sig)
-                if held_n > 800_000:
+                if held_n > 400_000:
                     yield flush()
                     held_n = 0
         if held:
@@ -518,6 +518,11 @@ class Join:
 
 def jaccard_components(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
     """doc_id, n_shingles, component_id, node (set), group (component) of every row of docs(doc_id, text)."""
+    with conf_set(docs.sparkSession, **{"spark.sql.execution.arrow.maxRecordsPerBatch": "1024"}):
+        return _components(docs, spec)
+
+
+def _components(docs: DataFrame, spec: Spec) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     told = stash(describe(docs, spec), "sets")
