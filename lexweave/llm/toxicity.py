@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, stash, utf8
+from .common import fold, stash, unstash, utf8
 from .textops import LOWER, U64, Rolling, binary_parts, mix64, slices, word_spans
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -36,7 +36,7 @@ class Table:
     """A map of 64-bit keys to numbers, with open addressing over arrays."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(8, int(len(keys) * 4).bit_length())
+        bits = max(8, int(len(keys) * 2).bit_length())
         self.mask = (1 << bits) - 1
         self.keys, self.values, self.full = np.zeros(1 << bits, U64), np.zeros(1 << bits, np.float32), np.zeros(1 << bits, bool)
         left, step = np.arange(len(keys)), 0
@@ -213,6 +213,8 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, order: int =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(x) if x else np.zeros(0))], ["toxic", "x"])
 
     judged = sample.mapInArrow(run, "toxic int, x double").toArrow()
+    shared.destroy()
+    unstash(spark, sample)
     return Scorer(model(counts.sum(1)), best_threshold(judged["x"].to_numpy(), judged["toxic"].to_numpy()), least=least)
 
 
