@@ -55,18 +55,26 @@ def lcs_length(x: Column, y: Column) -> Column:
     return F.element_at(F.aggregate(x, zero, row), -1)
 
 
-def indel_distance(x: Column, y: Column) -> Column:
-    return F.size(x) + F.size(y) - 2 * lcs_length(x, y)
+def indel_distance(x: Column, y: Column, most: int | None = None) -> Column:
+    """Insertions and deletions from x to y; with `most`, -1 where there are more, and lengths that differ by more are not compared."""
+    d = F.size(x) + F.size(y) - 2 * lcs_length(x, y)
+    return d if most is None else F.when(F.abs(F.size(x) - F.size(y)) > most, -1).otherwise(F.when(d <= most, d).otherwise(-1))
 
 
-def edit_distance(x: Column, y: Column) -> Column:
+def compare(x: Column, y: Column) -> Column:
+    """-1, 0 or 1: shorter records first, of equal length by tokens."""
+    return F.when(F.size(x) != F.size(y), F.signum(F.size(x) - F.size(y))).otherwise(F.when(x < y, -1).when(x == y, 0).otherwise(1)).cast("int")
+
+
+def edit_distance(x: Column, y: Column, most: int | None = None) -> Column:
     """Levenshtein distance of tokens: each token of the two becomes one character, and the built-in counts those.
 
-    Characters start at U+10000, so the two arrays may have over a million distinct tokens.
+    Characters start at U+10000, so the two arrays may have over a million distinct tokens. With `most`, only a band of the table is filled, and
+    greater distances are -1.
     """
     names = F.array_distinct(F.concat(x, y))
     code = lambda a: F.array_join(F.transform(a, lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(names, t) + 0x10000), 8, "0")), "UTF-32")), "")
-    return F.levenshtein(code(x), code(y))
+    return F.levenshtein(code(x), code(y), most)
 
 
 def jaccard(x: Column, y: Column) -> Column:

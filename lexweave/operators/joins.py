@@ -7,7 +7,7 @@ with the length filter in the join's condition, and are made distinct before the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import rewriting as R
 from ..functions.arrays import token_set
 from . import orders, qgrams
-from .rewrite import MOST_TRANSFORMS, expand, full_set, searchable
+from .rewrite import MOST_TRANSFORMS, expand, full_set, num_transforms
 from .verify import verify
 
 
@@ -51,8 +51,16 @@ def pairs_by_length(s: DataFrame, t: DataFrame, delta: int = 0, most_len: int |
 
 
 def naive(s: DataFrame, t: DataFrame, most: int = MOST_TRANSFORMS, **_) -> DataFrame:
+    """Records of more than `most` segmentations are not expanded but found by grams, as in all strategies that expand."""
     made = expand(s, most).select(F.col("id").alias("id1"), "toks")
-    return made.join(t.select(F.col("id").alias("id2"), "toks"), "toks").select("id1", "id2").distinct()
+    found = made.join(t.select(F.col("id").alias("id2"), "toks"), "toks").select("id1", "id2").distinct()
+    return _and_large(found, s, most, lambda large: first_k(large, t))
+
+
+def _and_large(found: DataFrame, s: DataFrame, most: int, plan: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What expansion found, and the pairs of records that are too large to expand, by a plan without expansion."""
+    large = s.filter(num_transforms() > most)
+    return found.unionByName(plan(large)).distinct() if large.take(1) else found
 
 
 def _gram_candidates(s: DataFrame, t: DataFrame, probe: DataFrame, indexed: DataFrame, use_lf: bool) -> DataFrame:
@@ -66,15 +74,18 @@ def _gram_candidates(s: DataFrame, t: DataFrame, probe: DataFrame, indexed: Data
 
 def _stpq(s: DataFrame, q: int, use_stpq: bool, limit: int | None, most: int) -> DataFrame:
     if use_stpq:
-        return qgrams.stpq(s, q, limit, most)
+        return qgrams.stpq(s, q, limit)
     grams = qgrams.tpq(s, q, most)
+    large = s.filter(num_transforms() > most)
+    if large.take(1):
+        grams = grams.unionByName(qgrams.stpq(large, q))
     return grams if limit is None else grams.filter(F.col("pos") < limit)
 
 
 def first_k(s: DataFrame, t: DataFrame, k: int = 1, q: int = 2, use_lf: bool = True, use_pqf: bool = True, use_stpq: bool = True, most: int = MOST_TRANSFORMS, **_) -> DataFrame:
     """Grams of the first k positions."""
     if not use_pqf:
-        return verify(pairs_by_length(searchable_profiled(s, most), t), s, t, "sequence")
+        return verify(pairs_by_length(s, t), s, t, "sequence")
     found = _gram_candidates(s, t, _stpq(s, q, use_stpq, k, most), qgrams.pq(t, q, k), use_lf)
     return verify(found, s, t, "sequence")
 
@@ -82,7 +93,7 @@ def first_k(s: DataFrame, t: DataFrame, k: int = 1, q: int = 2, use_lf: bool = T
 def best_k(s: DataFrame, t: DataFrame, k: int = 1, q: int = 2, use_lf: bool = True, use_pqf: bool = True, use_stpq: bool = True, sample: float | None = None, seed: int = 7, most: int = MOST_TRANSFORMS, **_) -> DataFrame:
     """Grams of the k positions at which the searched side has them least; sample: count on a part of the searched side."""
     if not use_pqf:
-        return verify(pairs_by_length(searchable_profiled(s, most), t), s, t, "sequence")
+        return verify(pairs_by_length(s, t), s, t, "sequence")
     probe = _stpq(s, q, use_stpq, None, most)
     counted = probe if sample is None else _stpq(s.sample(sample, seed), q, use_stpq, None, most)
     indexed = orders.best_positions(qgrams.pq(t, q), qgrams.gram_counts(counted), k)
@@ -93,13 +104,9 @@ def best_k_fast(s: DataFrame, t: DataFrame, sample: float = 0.01, **more) -> Dat
     return best_k(s, t, sample=sample, **more)
 
 
-def searchable_profiled(s: DataFrame, most: int) -> DataFrame:
-    return s.filter(F.col("transforms") <= most)
-
-
 def prefix_signatures(s: DataFrame, counts: DataFrame, size: int = 1, most: int = MOST_TRANSFORMS) -> DataFrame:
     """(id1, token): the tokens that are among the `size` rarest of some rewriting. Ranks come with each record's own tokens."""
-    used = searchable(s, most).select("id", F.explode(F.array_distinct(F.flatten(F.transform("rules", lambda r: r["rhs"])))).alias("token"))
+    used = s.select("id", F.explode(F.array_distinct(F.flatten(F.transform("rules", lambda r: r["rhs"])))).alias("token"))
     keys = used.join(counts, "token", "left").groupBy("id").agg(F.collect_list(F.struct(orders.frequency_key(F.col("n"), F.col("token")).alias("key"), "token")).alias("keys"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +157,7 @@ def pkduck(s: DataFrame, t: DataFrame, order: str = "FF", check: str = "DP", rc:
     """order FF: signature by frequency; PF: by position, so the first token. rc (rule compression) gives the same pairs."""
     if order == "FF":
         return signature(s, t, VERIFY[check], use_lf=use_lf, most=most)
-    a = qgrams.stpq(s, 1, 1, most).join(s.select("id", "min_len", "max_len"), "id").select(F.col("id").alias("id1"), "gram", "min_len", "max_len")
+    a = qgrams.stpq(s, 1, 1).join(s.select("id", "min_len", "max_len"), "id").select(F.col("id").alias("id1"), "gram", "min_len", "max_len")
     b = t.select(F.col("id").alias("id2"), F.slice("toks", 1, 1).alias("gram"), F.size("toks").alias("t_len"))
     hit = a.join(b, "gram")
     return verify((hit.filter(_length()) if use_lf else hit).select("id1", "id2").distinct(), s, t, VERIFY[check])
@@ -161,7 +168,8 @@ def pkduck(s: DataFrame, t: DataFrame, order: str = "FF", check: str = "DP", rc:
 
 def set_naive(s: DataFrame, t: DataFrame, most: int = MOST_TRANSFORMS, **_) -> DataFrame:
     a = expand(s, most).select(F.col("id").alias("id1"), token_set(F.col("toks")).alias("k")).distinct()
-    return a.join(t.select(F.col("id").alias("id2"), token_set(F.col("toks")).alias("k")), "k").select("id1", "id2").distinct()
+    found = a.join(t.select(F.col("id").alias("id2"), token_set(F.col("toks")).alias("k")), "k").select("id1", "id2").distinct()
+    return _and_large(found, s, most, lambda large: pkduck_set(large, t))
 
 
 def pkduck_set(s: DataFrame, t: DataFrame, check: str = "DP", rc: bool = False, use_lf: bool = True, most: int = MOST_TRANSFORMS, **_) -> DataFrame:
@@ -175,7 +183,7 @@ def _rhs_tokens(s: DataFrame) -> DataFrame:
 def best_k_set(s: DataFrame, t: DataFrame, k: int = 1, check: str = "DP", beam: int = 2, most: int = MOST_TRANSFORMS, **_) -> DataFrame:
     """All of the k rarest tokens of t are available to s."""
     b = orders.rarest(t, orders.rhs_counts(s), k).select(F.col("id").alias("id2"), "token", "n_set", F.least(F.lit(k), F.col("n_set")).alias("indexed"))
-    hit = _rhs_tokens(searchable_profiled(s, most)).join(b, "token").filter("max_len >= n_set")
+    hit = _rhs_tokens(s).join(b, "token").filter("max_len >= n_set")
     found = hit.groupBy("id1", "id2").agg(F.count("*").alias("hits"), F.first("indexed").alias("indexed")).filter("hits >= indexed").select("id1", "id2")
     return verify(found, s, t, SET_VERIFY[check], beam=beam)
 
@@ -185,11 +193,11 @@ def best_k_set(s: DataFrame, t: DataFrame, k: int = 1, check: str = "DP", beam:
 
 def _short(s: DataFrame, t: DataFrame, delta: int, most_len: int, most: int) -> DataFrame:
     """Pairs of lengths at which grams prove nothing."""
-    return pairs_by_length(searchable_profiled(s, most), t.filter(F.size("toks") <= most_len), delta, most_len)
+    return pairs_by_length(s, t.filter(F.size("toks") <= most_len), delta, most_len)
 
 
 def all_pairs(s: DataFrame, t: DataFrame, delta: int = 0, dist: str = "edit", most: int = MOST_TRANSFORMS, **_) -> DataFrame:
-    return verify(pairs_by_length(searchable_profiled(s, most), t, delta), s, t, "delta", delta=delta, dist=dist)
+    return verify(pairs_by_length(s, t, delta), s, t, "delta", delta=delta, dist=dist)
 
 
 def _deletions(rows: DataFrame, key: str, delta: int) -> DataFrame:
@@ -209,12 +217,14 @@ def delta_naive(s: DataFrame, t: DataFrame, delta: int = 1, dist: str = "edit",
     b = _deletions(t.select(F.col("id").alias("id2"), "toks"), "id2", delta).withColumnRenamed("lost", "lost2")
     hit = a.join(b, "toks")
     if dist == "lcs":
-        return hit.filter(F.col("lost") + F.col("lost2") <= delta).select("id1", "id2").distinct()
-    return verify(hit.select("id1", "id2").distinct(), s, t, "delta", delta=delta, dist=dist)
+        found = hit.filter(F.col("lost") + F.col("lost2") <= delta).select("id1", "id2").distinct()
+    else:
+        found = verify(hit.select("id1", "id2").distinct(), s, t, "delta", delta=delta, dist=dist)
+    return _and_large(found, s, most, lambda large: delta_simple(large, t, delta=delta, dist=dist))
 
 
 def delta_simple_candidates(s: DataFrame, t: DataFrame, q: int, delta: int, use_lf: bool, most: int) -> DataFrame:
-    a = _probe(s, qgrams.stpq(s, q, None, most)).withColumn("pos", F.explode(F.sequence(F.col("pos") - delta, F.col("pos") + delta))).distinct()
+    a = _probe(s, qgrams.stpq(s, q)).withColumn("pos", F.explode(F.sequence(F.col("pos") - delta, F.col("pos") + delta))).distinct()
     b = _index(t, qgrams.pq(t, q))
     hit = a.join(b, ["pos", "gram"])
     if use_lf:
@@ -236,9 +246,9 @@ def variant_candidates(s: DataFrame, t: DataFrame, k: int, q: int, delta: int, b
     long = t.filter(F.size("toks") > delta)
     windows = qgrams.pq(long, q + delta).join(long.select("id", F.size("toks").alias("n")), "id").filter(F.col("pos") < F.col("n") - delta).drop("n")
     limit = None if best else k
-    probe = qgrams.variants(qgrams.stpq(s, q + delta, limit, most), q, delta)
+    probe = qgrams.variants(qgrams.stpq(s, q + delta, limit), q, delta)
     if best:
-        counted = probe if sample is None else qgrams.variants(qgrams.stpq(s.sample(sample, seed), q + delta, None, most), q, delta)
+        counted = probe if sample is None else qgrams.variants(qgrams.stpq(s.sample(sample, seed), q + delta), q, delta)
         counts = qgrams.gram_counts(counted.select("id", "pos", "gram").distinct())
         cost = qgrams.variants(windows, q, delta).select("id", "pos", "gram").distinct().join(counts, ["pos", "gram"], "left").groupBy("id", "pos").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
         chosen = cost.withColumn("place", F.row_number().over(W.partitionBy("id").orderBy("n", "pos"))).filter(F.col("place") <= k).select("id", "pos")
@@ -293,7 +303,8 @@ def segment_join(made: DataFrame, t: DataFrame, delta: int) -> DataFrame:
 def pass_join(s: DataFrame, t: DataFrame, delta: int = 0, dist: str = "edit", most: int = MOST_TRANSFORMS, **_) -> DataFrame:
     """Pigeonhole: of delta + 1 segments of t, one is untouched by delta edits."""
     made = expand(s, most).select(F.col("id").alias("id1"), "toks")
-    return verify(segment_join(made, t, delta), s, t, "delta", delta=delta, dist=dist)
+    found = verify(segment_join(made, t, delta), s, t, "delta", delta=delta, dist=dist)
+    return _and_large(found, s, most, lambda large: delta_simple(large, t, delta=delta, dist=dist))
 
 
 def pass_join_plain(t: DataFrame, delta: int = 1, dist: str = "lcs") -> DataFrame:
@@ -309,7 +320,7 @@ def pass_join_plain(t: DataFrame, delta: int = 1, dist: str = "lcs") -> DataFram
 def jaccard_replace(s: DataFrame, t: DataFrame, theta: float = 0.8, rc: bool = False, use_lf: bool = True, most: int = MOST_TRANSFORMS, **_) -> DataFrame:
     """Greedy rules replace tokens; one of the rarest floor((1 - theta) n) + 1 tokens of t must be available to s."""
     b = orders.rarest(t, orders.rhs_counts(s), orders.prefix_size(theta)).select(F.col("id").alias("id2"), "token", "n_set")
-    hit = _rhs_tokens(searchable_profiled(s, most)).join(b, "token")
+    hit = _rhs_tokens(s).join(b, "token")
     if use_lf:
         hit = hit.filter(F.col("max_len") >= theta * F.col("n_set") - 1e-9)
     return verify(hit.select("id1", "id2").distinct(), s, t, "jaccard_greedy", theta=theta)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rewriting as R
 from ..functions.arrays import PAD
-from .rewrite import MOST_TRANSFORMS, _rules, expand, searchable
+from .rewrite import MOST_TRANSFORMS, _rules, expand
 
 
 def pq(records: DataFrame, q: int, limit: int | None = None) -> DataFrame:
@@ -31,7 +31,7 @@ def tpq(m: DataFrame, q: int, most: int = MOST_TRANSFORMS) -> DataFrame:
     return pq(expand(m, most), q).distinct()
 
 
-def stpq_ranges(m: DataFrame, q: int, limit: int | None = None, most: int = MOST_TRANSFORMS) -> DataFrame:
+def stpq_ranges(m: DataFrame, q: int, limit: int | None = None) -> DataFrame:
     """(id, low, high, gram): grams of chains of rules, with the positions that the lengths before them allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,7 +41,7 @@ def stpq_ranges(m: DataFrame, q: int, limit: int | None = None, most: int = MOST
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[lo : lo + 20_000], strict=True), kinds, strict=True)], ["id", "low", "high", "gram"])
 
-    return searchable(m, most).mapInArrow(run, "id long, low int, high int, gram array<string>")
+    return m.select("id", "toks", "rules").mapInArrow(run, "id long, low int, high int, gram array<string>")
 
 
 def merged_ranges(ranges: DataFrame) -> DataFrame:
@@ -54,9 +54,9 @@ def merged_ranges(ranges: DataFrame) -> DataFrame:
     return d.groupBy("id", "gram", "k").agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("k")
 
 
-def stpq(m: DataFrame, q: int, limit: int | None = None, most: int = MOST_TRANSFORMS) -> DataFrame:
+def stpq(m: DataFrame, q: int, limit: int | None = None) -> DataFrame:
     """(id, pos, gram) without repeats."""
-    return stpq_ranges(m, q, limit, most).select("id", F.explode(F.sequence("low", "high")).alias("pos"), "gram").distinct()
+    return stpq_ranges(m, q, limit).select("id", F.explode(F.sequence("low", "high")).alias("pos"), "gram").distinct()
 
 
 def gram_counts(grams: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rewriting as R
 
-#: Records with more segmentations than this are not searched with.
+#: Records with more segmentations than this are not expanded; joins find their pairs without expansion.
 MOST_TRANSFORMS = 20_000_000
 #: Records with more choices of added right-hand sides than this have no set expansions.
 MOST_CHOICES = 4096
@@ -115,7 +115,7 @@ def searchable(m: DataFrame, most: int = MOST_TRANSFORMS) -> DataFrame:
 
 
 def skipped(m: DataFrame, most: int = MOST_TRANSFORMS) -> DataFrame:
-    """(id) of the records that are not searched with."""
+    """(id) of the records that are not expanded."""
     return m.filter(num_transforms() > most).select("id")
 
 

@@ -1,4 +1,4 @@
-"""Verifiers of candidate pairs, run in Arrow batches over functions without shared state."""
+"""Verifiers of candidate pairs: columns where the JVM can express them, else Arrow batches over functions without shared state."""
 
 from __future__ import annotations
 
@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rewriting as R
+from ..functions.arrays import edit_distance, indel_distance
 from .rewrite import _rules
 
 #: name: predicate (x tokens, x rules, y tokens, y rules, parameters)
@@ -46,38 +47,67 @@ def _reachable(name: str, parameters: dict):
     return F.size(F.filter("y", lambda t: ~F.array_contains("reach", t))) <= most
 
 
+def reaches() -> Column:
+    """y is a rewriting of x by its rules rx: the lengths of prefixes of y that prefixes of x can become, by a fold over x."""
+    n = F.size("x")
+    ends = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+
+    def step(acc: Column, e: Column) -> Column:
+        grow = lambda r: F.transform(F.filter(F.get(acc, r["start"]), lambda j: F.slice("y", j + 1, F.size(r["rhs"])) == r["rhs"]), lambda j: j + F.size(r["rhs"]))
+        return F.array_append(acc, F.array_distinct(F.flatten(F.transform(F.filter("rx", lambda r: r["start"] + r["n"] == e), grow))))
+
+    return F.array_contains(F.element_at(F.aggregate(ends, F.array(F.array(F.lit(0))), step), -1), F.size("y"))
+
+
+#: Predicates as columns over x, rx, y; these need no Python.
+COLUMNS: dict[str, Callable[[dict], Column]] = {
+    "same": lambda p: F.col("x") == F.col("y"),
+    "sequence": lambda p: reaches(),
+    "distance": lambda p: (edit_distance if p["dist"] == "edit" else indel_distance)(F.col("x"), F.col("y")) <= p["delta"],
+}
+
+
 class _Seen:
-    """Records of a task by id, so that each is turned into Python once however many candidates it has; bounded."""
+    """Records of a task by a hash of all that they hold, so that each is turned into Python once however many candidates it has; bounded.
+
+    An id that stands for several records is as many entries.
+    """
 
     def __init__(self, key: str, toks: str, rules: str, most: int = 100_000):
         self.key, self.toks, self.rules, self.most = key, toks, rules, most
         self.known: dict[int, tuple] = {}
 
-    def of(self, b: pa.RecordBatch) -> dict[int, tuple]:
+    def of(self, b: pa.RecordBatch) -> list[tuple]:
         if len(self.known) > self.most:
             self.known.clear()
-        ids, first = np.unique(b.column(self.key).to_numpy(), return_index=True)
-        new = [(i, k) for i, k in zip(ids.tolist(), first.tolist(), strict=True) if i not in self.known]
+        keys, first = np.unique(b.column(self.key).to_numpy(), return_index=True)
+        new = [(i, k) for i, k in zip(keys.tolist(), first.tolist(), strict=True) if i not in self.known]
         if new:
             rows = pa.array([k for _, k in new], pa.int64())
             toks, rules = (b.column(c).take(rows).to_pylist() for c in (self.toks, self.rules))
             self.known.update({i: (tuple(t), _rules(r)) for (i, _), t, r in zip(new, toks, rules, strict=True)})
-        return self.known
+        return [self.known[i] for i in b.column(self.key).to_pylist()]
 
 
 def verify(candidates: DataFrame, left: DataFrame, right: DataFrame, name: str, **parameters) -> DataFrame:
-    """The candidates (id1, id2) that satisfy a predicate; left: (id, toks, rules); right: (id, toks[, rules])."""
+    """The candidates (id1, id2) that satisfy a predicate; left: (id, toks, rules); right: (id, toks[, rules]).
+
+    Where an id stands for several records, a pair is given if any of them satisfy it, once for each that does.
+    """
     test = PREDICATES[name]
     reach = F.array_distinct(F.flatten(F.transform("rules", lambda r: r["rhs"]))).alias("reach")
     x = left.select(F.col("id").alias("id1"), F.col("toks").alias("x"), F.col("rules").alias("rx"), reach)
     ry = F.col("rules") if "rules" in right.columns else F.array().cast("array<struct<start:int,n:int,rhs:array<string>>>")
     y = right.select(F.col("id").alias("id2"), F.col("toks").alias("y"), ry.alias("ry"))
+    pairs = candidates.join(x, "id1").join(y, "id2").filter(_reachable(name, parameters))
+    if name in COLUMNS:
+        return pairs.filter(COLUMNS[name](parameters)).select("id1", "id2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left_seen, right_seen = _Seen("id1", "x", "rx"), _Seen("id2", "y", "ry")
+        left_seen, right_seen = _Seen("k1", "x", "rx"), _Seen("k2", "y", "ry")
         for b in batches:
-            one, two = left_seen.of(b), right_seen.of(b)
-            mask = pa.array([bool(test(*one[i], *two[j], parameters)) for i, j in zip(b.column("id1").to_pylist(), b.column("id2").to_pylist(), strict=True)], pa.bool_())
+            mask = pa.array([bool(test(*one, *two, parameters)) for one, two in zip(left_seen.of(b), right_seen.of(b), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("id1").filter(mask), b.column("id2").filter(mask)], ["id1", "id2"])
 
-    return candidates.join(x, "id1").join(y, "id2").filter(_reachable(name, parameters)).select("id1", "id2", "x", "rx", "y", "ry").mapInArrow(run, "id1 long, id2 long")
+    keys = F.xxhash64("id1", "x", "rx").alias("k1"), F.xxhash64("id2", "y", "ry").alias("k2")
+    return pairs.select("id1", "id2", *keys, "x", "rx", "y", "ry").mapInArrow(run, "id1 long, id2 long")

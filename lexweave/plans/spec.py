@@ -20,7 +20,7 @@ class Params:
     theta: float = 1.0
     sample: float | None = None  # [sampleB]
     sample_plan: float = 0.05  # [sampleH]
-    order: str = "FF"  # FF, PF or TF [ord]
+    order: str = "FF"  # FF or PF [ord]
     check: str = "DP"  # naive, greedy, DP, MIT_GR or GR<beam> [verify]
     beam: int = 2
     rc: bool = False
@@ -35,7 +35,7 @@ class Params:
             raise ValueError("K and q are positive, delta is not negative, theta lies in 0..1")
         if self.dist not in ("edit", "lcs"):
             raise ValueError(f"distance {self.dist}")
-        if self.order not in ("FF", "PF", "TF"):
+        if self.order not in ("FF", "PF"):
             raise ValueError(f"order {self.order}")
         if self.check not in ("naive", "greedy", "DP", "MIT_GR", "beam"):
             raise ValueError(f"verifier {self.check}")

@@ -293,6 +293,12 @@ def _plain(spark: SparkSession, d: str) -> DataFrame:
 add("pass_join_plain", _plain, sql("SELECT id AS id1, id AS id2 FROM recs UNION " + SELF.format(f"SELECT d.id AS a, r.id AS b FROM {DROPS.format('toks', 'recs')} d JOIN recs r ON d.less = r.toks")))
 
 
+def _every_pair(m: DataFrame, r: DataFrame) -> DataFrame:
+    """All pairs of records, for the verifiers alone; no length is left out."""
+    longest = max(r.agg(F.max(F.size("toks"))).first()[0] or 0, m.agg(F.max("max_len")).first()[0] or 0)
+    return joins.pairs_by_length(m, r, int(longest))
+
+
 def _jaccard_exact(spark: SparkSession, d: str, kind: str = "kinds") -> DataFrame:
     m = profiled(spark, d, kind)
     return joins.jaccard_expand(m, m, 0.6, "jaccard_exact").filter("id1 <= id2")
@@ -300,7 +306,7 @@ def _jaccard_exact(spark: SparkSession, d: str, kind: str = "kinds") -> DataFram
 
 def _jaccard_full(spark: SparkSession, d: str, kind: str = "kinds") -> DataFrame:
     m = profiled(spark, d, kind)
-    return verify(joins.pairs_by_length(m, records(spark, d, kind), 10), m, m, "jaccard_full", theta=0.6).filter("id1 <= id2")
+    return verify(_every_pair(m, records(spark, d, kind)), m, m, "jaccard_full", theta=0.6).filter("id1 <= id2")
 
 
 SETS = _sql["set_expansion"].rsplit("SELECT DISTINCT id,", 1)
@@ -323,7 +329,7 @@ add("join_two_tables_signature", _two_tables("SIJoin"), BOTH)
 
 def _both_sides(spark: SparkSession, d: str, kind: str = "kinds") -> DataFrame:
     m = profiled(spark, d, kind)
-    return verify(joins.pairs_by_length(m, records(spark, d, kind), 4), m, m, "both")
+    return verify(_every_pair(m, records(spark, d, kind)), m, m, "both")
 
 
 def _both_expanded(spark: SparkSession, d: str) -> DataFrame:
@@ -336,13 +342,13 @@ add("join_both_sides", _both_expanded, sql("SELECT DISTINCT a.id AS id1, b.id AS
 for _name in ("sequence", "sequence_naive", "same", "set", "set_naive"):
     add(
         f"verify_{_name}",
-        lambda spark, d, n=_name: verify(joins.pairs_by_length(profiled(spark, d, "kinds"), records(spark, d, "kinds"), 4), matched(spark, d, "kinds"), records(spark, d, "kinds"), n),
+        lambda spark, d, n=_name: verify(_every_pair(profiled(spark, d, "kinds"), records(spark, d, "kinds")), matched(spark, d, "kinds"), records(spark, d, "kinds"), n),
         sql({"same": "SELECT id AS id1, id AS id2 FROM recs"}.get(_name) or "SELECT DISTINCT e.id AS id1, r.id AS id2 FROM e JOIN recs r ON " + ("list_sort(list_distinct(e.made)) = list_sort(list_distinct(r.toks))" if "set" in _name else "e.made = r.toks"), "kinds"),
     )
 for _name in ("delta", "delta_naive"):
-    add(f"verify_{_name}", lambda spark, d, n=_name: verify(joins.pairs_by_length(profiled(spark, d, "kinds"), records(spark, d, "kinds"), 4), matched(spark, d, "kinds"), records(spark, d, "kinds"), n, delta=1, dist="edit"), sql(f"SELECT DISTINCT a AS id1, b AS id2 FROM ({EDIT1})", "kinds"))
+    add(f"verify_{_name}", lambda spark, d, n=_name: verify(_every_pair(profiled(spark, d, "kinds"), records(spark, d, "kinds")), matched(spark, d, "kinds"), records(spark, d, "kinds"), n, delta=1, dist="edit"), sql(f"SELECT DISTINCT a AS id1, b AS id2 FROM ({EDIT1})", "kinds"))
 
-_verified = lambda spark, d, kind, n, **options: verify(joins.pairs_by_length(profiled(spark, d, kind), records(spark, d, kind), 4), matched(spark, d, kind), records(spark, d, kind), n, **options)
+_verified = lambda spark, d, kind, n, **options: verify(_every_pair(profiled(spark, d, kind), records(spark, d, kind)), matched(spark, d, kind), records(spark, d, kind), n, **options)
 add_items("verify_both_sides", _both_sides)
 for _name in ("sequence", "sequence_naive", "same", "set", "set_naive"):
     add_items(f"verify_{_name}", lambda spark, d, kind, n=_name: _verified(spark, d, kind, n))

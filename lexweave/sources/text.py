@@ -16,10 +16,18 @@ def tokens(text: Column) -> Column:
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(id, raw) with the 0-based number of the line.
 
-    Numbers are those of one file in its order, so its lines are counted a partition at a time before they are numbered.
+    Numbers are those of one file in its order: each partition's lines are counted first, and every line gets its partition's start and its
+    place there. What reaches the driver is a number a partition.
     """
-    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    return spark.createDataFrame(rows, "id long, raw string")
+    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))
+    part = F.shiftright("at", 33)
+    n = {r["p"]: r["n"] for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    starts, total = [], 0
+    for p in sorted(n):
+        starts.append((p, total - (p << 33)))
+        total += n[p]
+    shift = spark.createDataFrame(starts, "p long, shift long")
+    return rows.withColumn("p", part).join(F.broadcast(shift), "p").select((F.col("at") + F.col("shift")).alias("id"), "raw")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:

@@ -137,3 +137,22 @@ def test_records_without_set_expansions_are_listed(spark):
     assert {x.id for x in rewrite.set_skipped(m).collect()} == {0}
     assert {x.id for x in rewrite.set_expansions(m).collect()} == {1}
     assert not rewrite.set_skipped(m, 1 << 13).collect()
+
+
+def test_a_repeated_id_is_several_records(spark):
+    from lexweave.operators.verify import PREDICATES, verify
+
+    rule = "struct<start:int,n:int,rhs:array<string>>"
+    left = spark.createDataFrame([(1, ["a"], [(0, 1, ["a"])]), (1, ["b"], [(0, 1, ["b"])])], f"id long, toks array<string>, rules array<{rule}>")
+    right = spark.createDataFrame([(7, ["b"], [(0, 1, ["b"])])], f"id long, toks array<string>, rules array<{rule}>")
+    pairs = spark.createDataFrame([(1, 7)], "id1 long, id2 long")
+    for name in PREDICATES:
+        got = verify(pairs, left, right, name, delta=0, dist="edit", theta=1.0).distinct().collect()
+        assert [tuple(r) for r in got] == [(1, 7)], name
+
+
+@pytest.mark.parametrize(("name", "params"), [("JoinNaive", {}), ("JoinMH", {"use_stpq": False}), ("JoinSetNaive", {}), ("JoinDeltaNaive", {"delta": 1}), ("PassJoin", {"delta": 1})])
+def test_records_too_large_to_expand_are_found_without_expansion(data, name, params):
+    few, whole = (pairs(registry.run(name, spec(data, True, most=m, **params))) for m in (2, 20_000_000))
+    assert few == whole
+    assert whole
