@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexweave.llm import decontaminate, mixing, near_dedup, suffix_dedup, toxicity
-from lexweave.llm.common import read_table, stash
+from lexweave.llm.common import read_table, stash, unstash
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = stash(stage(spark, docs, sf_dir), name)
+        unstash(spark, *before)
+        before = [docs]
     return docs
