@@ -73,6 +73,36 @@ def test_splices_without_a_boundary(tokenizer):
         assert c.count([text]) == [len(tokenizer.encode(text, add_special_tokens=False))]
 
 
+SCRIPTS = {
+    "cyrillic": lambda r: " ".join("".join(r.choice("абвгдежзиклмнопрст") for _ in range(r.randint(2, 9))) for _ in range(20_000)),
+    "cjk": lambda r: "".join(chr(r.randint(0x4E00, 0x5FFF)) if r.random() > 0.05 else "。" for _ in range(60_000)),
+    "arabic": lambda r: "،".join("".join(r.choice("ابتثجحخدذرزسشصض") for _ in range(r.randint(2, 30))) for _ in range(7_000)),
+    "special": lambda r: "<|endoftext|>".join("word " * r.randint(0, 4_000) for _ in range(60)),
+    "code": lambda r: "\n".join(f"    x_{r.randint(0, 99)} += [{r.randint(0, 9**9)}];" for _ in range(6_000)),
+}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_chunks_stay_bounded_in_any_script(tokenizer, script):
+    text = SCRIPTS[script](random.Random(3))
+    c = token_counts.Counter(token_counts.tokenizer_path(), huge=1 << 14, chunk=1 << 14)
+    seen, real = [], c.encode
+    c.encode = lambda t: seen.append(len(t)) or real(t)
+    assert c.count([text]) == [len(tokenizer.encode(text, add_special_tokens=False))]
+    assert len(seen) > 2 and max(seen) < 1 << 15 and sum(seen) < 1.2 * len(text)
+
+
+def test_a_stretch_without_boundary_is_one_chunk(tokenizer):
+    rng = random.Random(5)
+    run = "".join(chr(rng.randint(0x4E00, 0x5FFF)) for _ in range(40_000))
+    c = token_counts.Counter(token_counts.tokenizer_path(), huge=1 << 13, chunk=1 << 13)
+    seen, real = [], c.encode
+    c.encode = lambda t: seen.append(len(t)) or real(t)
+    text = run + "。" + "word " * 9_000 + run
+    assert c.count([text]) == [len(tokenizer.encode(text, add_special_tokens=False))]
+    assert sum(seen) < 2 * len(text)
+
+
 def test_media_round_trip(docs, rows, nothing):
     assert media.query(nothing).collect() == []
     got = media.query(docs).collect()
