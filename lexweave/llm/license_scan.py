@@ -1,10 +1,10 @@
 """License scan by a positional index of rare tokens.
 
-Templates are phrases of licence texts, as words. IDFs of the templates' words are counted over all documents. Each template is
-posted, with its position, under its two highest-IDF words. A file's words are looked up in the order of their IDF: a place of the
-rarest word of a template proposes a start (place - position); the proposals of the second word are intersected
-with it by relative position; what remains is verified word by word. A label of several mandatory phrases is given if all of
-them occur. The three base phrases are templates of their own, so their places come from the same index.
+Templates are phrases of licence texts, as words. IDFs of the templates' words are counted over all documents. Every word of a
+template is posted with its position. A file's licence words are looked up from the highest IDF down: the first that a template
+has proposes starts (place in the file - position in the template), and the proposals of the template's other words, in the same order, are
+intersected with them by relative position until none is left or all words agree. A label of several mandatory phrases is given if
+all of them occur. The three base phrases are templates of their own, so their places come from the same index.
 
 Defined cases: null text is empty; a file without words has no labels and score 0; equal places of several phrases count once each; an
 empty table gives no rows; other columns are ignored.
@@ -42,32 +42,40 @@ SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word lon
 
 
 class Index:
-    """Rare words of the templates to (template, position), rarest template word first."""
+    """Licence words to (template, position)."""
 
     def __init__(self, df: dict[bytes, int], n_docs: int, base: dict[str, str] = BASE, labels: dict[str, tuple[str, ...]] = LABELS):
         self.base, self.labels = base, labels
         self.phrases = sorted({*base.values(), *(p for ps in labels.values() for p in ps)})
-        self.words = [tuple(p.encode().split()) for p in self.phrases]
-        idf = lambda w: np.log((n_docs + 1) / (df.get(w, 0) + 1))
-        self.postings: dict[bytes, list[tuple[int, int]]] = {}
-        self.second: list[tuple[int, bytes] | None] = []
-        for i, ws in enumerate(self.words):
-            order = sorted(range(len(ws)), key=lambda k: (-idf(ws[k]), k))
-            self.postings.setdefault(ws[order[0]], []).append((i, order[0]))
-            self.second.append((order[1], ws[order[1]]) if len(ws) > 1 else None)
-        self.weight = [float(sum(idf(w) for w in ws)) for ws in self.words]
+        words = [p.encode().split() for p in self.phrases]
+        idf = {w: float(np.log((n_docs + 1) / (df.get(w, 0) + 1))) for ws in words for w in ws}
+        self.postings: dict[bytes, list[tuple[int, int]]] = {w: [] for w in sorted(idf, key=lambda w: (-idf[w], w))}  # highest IDF first
+        for i, ws in enumerate(words):
+            for k, w in enumerate(ws):
+                self.postings[w].append((i, k))
+        rank = {w: r for r, w in enumerate(self.postings)}
+        self.order = [sorted(((k, w) for k, w in enumerate(ws)), key=lambda x: (rank[x[1]], x[0])) for ws in words]
+        self.weight = [sum(idf[w] for w in ws) for ws in words]
 
     def places(self, words: list[bytes]) -> dict[int, list[int]]:
         """Template to the starts of its occurrences."""
+        at: dict[bytes, list[int]] = {}
+        for place, w in enumerate(words):
+            if w in self.postings:
+                at.setdefault(w, []).append(place)
         out: dict[int, list[int]] = {}
-        n, get = len(words), self.postings.get
-        for at, w in enumerate(words):
-            for i, k in get(w) or ():
-                start, ws, two = at - k, self.words[i], self.second[i]
-                if start < 0 or start + len(ws) > n or two and words[start + two[0]] != two[1]:
-                    continue
-                if tuple(words[start : start + len(ws)]) == ws:
-                    out.setdefault(i, []).append(start)
+        for w in self.postings.keys() if at else ():
+            for i, k in self.postings[w] if w in at else ():
+                order = self.order[i]
+                if order[0] != (k, w) or any(x not in at for _, x in order):
+                    continue  # its rarest word proposes; a template with a word that the file lacks is not there
+                starts = {p - k for p in at[w]}
+                for j, x in order[1:]:
+                    if not starts:
+                        break
+                    starts.intersection_update(p - j for p in at[x])
+                if starts:
+                    out[i] = sorted(starts)
         return out
 
     def scan(self, words: list[bytes]) -> tuple:
