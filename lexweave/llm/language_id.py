@@ -1,8 +1,8 @@
 """Language identification by compression: one raw-content zstandard dictionary per language, the smallest output wins.
 
 Texts are read as their letters, lower-cased, with a space for every run of other characters. Training: for each language a bounded
-sample of labelled rows, `dict_docs` distinct texts at most in the order of a digest of their bytes, of which `dict_bytes` go into the
-dictionary, an equal share from each; copies of a text count once. Prediction: the whole text is cut into blocks, at character boundaries, so that the
+sample of labelled rows of the `max_langs` languages with most rows, `dict_docs` distinct texts at most in the order of a digest of their bytes, of which
+`dict_bytes` go into the dictionary, an equal share from each, in stretches spread over the whole text; copies of a text count once. Prediction: the whole text is cut into blocks, at character boundaries, so that the
 dictionary counts everywhere in long texts; each block is compressed against every dictionary and the sizes are summed.
 score is a logistic function of the relative margin between the two smallest sums; below `min_margin` the answer is
 marked as rejected (the query still names the closest language, as its contract asks).
@@ -17,7 +17,7 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,28 +33,36 @@ def normal(text: str) -> str:
     return regex.sub(r"[^\p{L}]+", " ", text.lower())
 
 
-def cut(data: bytes, size: int) -> bytes:
-    """The first bytes, without a part of a character."""
-    return data if len(data) <= size else data[:size].decode("utf-8", "ignore").encode()
+def spread(data: bytes, size: int, stretches: int = 4) -> bytes:
+    """`size` bytes in stretches from the beginning to the end, without parts of characters."""
+    if len(data) <= size:
+        return data
+    n = size // stretches
+    return b" ".join(data[at : at + n].decode("utf-8", "ignore").strip().encode() for at in ((len(data) - n) * i // (stretches - 1) for i in range(stretches)))
+
+
+def stretches_of(text: Column, size: Column, stretches: int = 4) -> Column:
+    """The same for the characters of a text."""
+    n = F.floor(size / stretches).cast("int")
+    at = [F.floor((F.length(text) - n) * i / (stretches - 1)).cast("int") + 1 for i in range(stretches)]
+    return F.when(F.length(text) <= size, text).otherwise(F.concat_ws(" ", *(F.substring(text, a, n) for a in at)))
 
 
 def train_dictionaries(rows: DataFrame, dict_docs: int = 256, dict_bytes: int = 64 << 10, max_langs: int = 1000) -> dict[str, bytes]:
     """rows(text, lang) to a dictionary per language, most rows first; what reaches the driver is 4 * dict_bytes characters a language."""
     d = rows.filter("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0").select(F.col("lang").cast("string").alias("lang"), "text")
-    count = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if len(count) > max_langs:
-        raise ValueError(f"{len(count)} languages; dictionaries are broadcast for {max_langs} at most")
-    share = dict_bytes // dict_docs
-    d = d.select("lang", F.substring("text", 1, 4 * share).alias("piece"), F.xxhash64("text").alias("u"))
+    langs = [r["lang"] for r in d.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()]
+    d = d.filter(F.col("lang").isin(langs)).withColumn("u", F.xxhash64("text"))
     chosen = d.select("lang", "u").distinct().withColumn("salt", F.pmod("u", F.lit(64)))
     for keys in (["lang", "salt"], ["lang"]):  # a hot language is thinned in 64 parts first
         chosen = chosen.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy("u"))).filter(F.col("n") <= dict_docs).drop("n")
+    chosen = chosen.select("lang", "u", F.floor(dict_bytes / F.count("*").over(W.partitionBy("lang"))).alias("share"))
     # dict_docs * max_langs keys at most
-    d = d.join(F.broadcast(chosen.select("lang", "u")), ["lang", "u"]).groupBy("lang", "u").agg(F.min("piece").alias("piece"))
+    d = d.join(F.broadcast(chosen), ["lang", "u"]).select("lang", "u", "share", stretches_of(F.col("text"), 4 * F.col("share")).alias("piece"))
     pieces: dict[str, list[bytes]] = {}
-    for lang, _, piece in sorted((r["lang"], r["u"], r["piece"]) for r in d.toLocalIterator()):
-        pieces.setdefault(lang, []).append(cut(normal(piece).encode("utf-8", "surrogatepass"), share))
-    return {k: b" ".join(pieces[k]) for k in sorted(pieces, key=lambda k: (-count[k], k))}
+    for lang, _, piece, share in sorted((r["lang"], r["u"], r["piece"], r["share"]) for r in d.groupBy("lang", "u", "share").agg(F.min("piece").alias("piece")).toLocalIterator()):
+        pieces.setdefault(lang, []).append(spread(normal(piece).encode("utf-8", "surrogatepass"), share))
+    return {k: b" ".join(pieces[k]) for k in langs}
 
 
 def blocks(data: bytes, size: int) -> Iterator[bytes]:
