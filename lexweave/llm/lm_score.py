@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import conf_set, input_bytes, stash, unstash
+from .common import bucket_count, chunk_size, conf_set, input_bytes, stash, unstash
 from .packed import pack, unpacked
 from .textops import BASE, LOWER, U64, Rolling, mix64, word_spans
 
@@ -138,7 +138,7 @@ def count(chunks: DataFrame, buckets: int, modulus: int, held: int) -> DataFrame
 
 
 def gather(counted: DataFrame, f: Filter, probe: bool) -> DataFrame:
-    """kind 0: counts of a chunk's words; 1: a part of the filter (x bits); 2: x distinct keys, y tokens, z of keys that repeat; 3: levels of a chunk's keys."""
+    """kind 0: counts of a chunk's words; 1: a part of the filter (x bits); 2: x distinct keys, y tokens, z of keys that repeat; 3: levels of a chunk's keys; 4: as 0, in 64 bits."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = key[0].as_py()
@@ -154,7 +154,8 @@ def gather(counted: DataFrame, f: Filter, probe: bool) -> DataFrame:
         seen = total > 0
         part, size = f.build(unique[seen], total[seen])
         out = [(1, None, bucket, part.tobytes(), size, None, None), (2, None, bucket, None, int(seen.sum()), int(total.sum()), int(total[total > 1].sum()))]
-        tell = [(0, total.astype(np.uint32))] if bucket < f.buckets else []
+        wide = total.max(initial=0) >= 1 << 32
+        tell = [(4, total.astype(U64)) if wide else (0, total.astype(np.uint32))] if bucket < f.buckets else []
         if probe:
             tell.append((3, f.levels(unique, part, np.zeros(len(unique), np.int64), np.full(len(unique), size, U64))))
         for kind, values in tell:
@@ -167,9 +168,10 @@ def gather(counted: DataFrame, f: Filter, probe: bool) -> DataFrame:
     return counted.groupBy("bucket").applyInArrow(run, TOLD)
 
 
-def _told(b: pa.RecordBatch, i: int, kind: int, tag: int, buckets: int, dtype) -> np.ndarray:
-    got = sorted((x["bucket"], x["bits"]) for x in b.column("told")[i].as_py() or () if x["kind"] == kind and x["bucket"] // buckets == tag)
-    return np.concatenate([np.frombuffer(bits, dtype) for _, bits in got]) if got else np.zeros(0, dtype)
+def _told(b: pa.RecordBatch, i: int, tag: int, buckets: int, kinds: dict) -> np.ndarray:
+    """What the buckets of a side told a chunk, in the order of its keys; kinds: to the type of their values."""
+    got = sorted((x["bucket"], x["kind"], x["bits"]) for x in b.column("told")[i].as_py() or () if x["kind"] in kinds and x["bucket"] // buckets == tag)
+    return np.concatenate([np.frombuffer(bits, kinds[kind]) for _, kind, bits in got]) if got else np.zeros(0, next(iter(kinds.values())))
 
 
 def score_chunks(chunks: DataFrame, f: Filter, whole, n: int, v: int, seen: float, modulus: int, held: int) -> DataFrame:
@@ -183,12 +185,12 @@ def score_chunks(chunks: DataFrame, f: Filter, whole, n: int, v: int, seen: floa
                 levels = []
                 for tag, (keys, _, _) in enumerate(t.sides):
                     if whole is None:
-                        levels.append(_told(b, i, 3, tag, f.buckets, np.uint8))
+                        levels.append(_told(b, i, tag, f.buckets, {3: np.uint8}))
                     else:
                         data, starts, sizes = whole.value
                         at = np.searchsorted(edges, keys, "right") + tag * f.buckets
                         levels.append(f.levels(keys, data, starts[at], sizes[at]))
-                c = _told(b, i, 0, 0, f.buckets, np.uint32).astype(np.float64)[t.sides[0][1]]
+                c = _told(b, i, 0, f.buckets, {0: np.uint32, 4: U64}).astype(np.float64)[t.sides[0][1]]
                 base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
                 word = count_of(levels[0])
                 one = (word[t.sides[0][1]] + 0.5) / (n + 0.5 * (v + 1))
@@ -207,13 +209,13 @@ def score_chunks(chunks: DataFrame, f: Filter, whole, n: int, v: int, seen: floa
     return chunks.mapInArrow(run, SCHEMA)
 
 
-def score_texts(docs: DataFrame, modulus: int = 5, held: int = 1, max_filter_bytes: int = 256 << 20, chunk_bytes: int = 2 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, modulus: int = 5, held: int = 1, max_filter_bytes: int = 256 << 20, chunk_bytes: int | None = None) -> DataFrame:
     """The columns above for every row of docs(doc_id, text)."""
     spark = docs.sparkSession
     size = input_bytes(docs.select("text"))
-    f = Filter(int(max(8, min(50_000, size // (4 << 20)))))
+    f = Filter(int(bucket_count(size, 4 << 20)))
     with conf_set(spark, **{"spark.sql.parquet.compression.codec": "zstd"}):
-        chunks = stash(pack(docs, chunk_bytes), "chunks")
+        chunks = stash(pack(docs, chunk_bytes or chunk_size(size)), "chunks")
         with conf_set(spark, **{"spark.sql.execution.arrow.maxRecordsPerBatch": "4"}):
             tokens = count_words(chunks).agg(F.sum("n")).first()[0] or 0
             bound = 2 * tokens * f.bits_per_entry // 8
@@ -223,7 +225,7 @@ def score_texts(docs: DataFrame, modulus: int = 5, held: int = 1, max_filter_byt
             n, v = (int(stats[0]["y"]), int(stats[0]["x"])) if 0 in stats else (0, 0)
             seen = stats[1]["z"] / stats[1]["y"] if 1 in stats and stats[1]["y"] else 0.0
             whole = spark.sparkContext.broadcast(assemble(told.filter("kind = 1").select("bucket", "blob", "x"), f)) if broadcast else None
-            per_chunk = told.filter("kind IN (0, 3)").groupBy("chunk").agg(F.collect_list(F.struct("kind", "bucket", F.col("blob").alias("bits"))).alias("told"))
+            per_chunk = told.filter("kind IN (0, 3, 4)").groupBy("chunk").agg(F.collect_list(F.struct("kind", "bucket", F.col("blob").alias("bits"))).alias("told"))
             out = stash(score_chunks(chunks.join(per_chunk, "chunk", "left"), f, whole, n, v, seen, modulus, held), "scores")
     unstash(spark, chunks, told)
     return out

@@ -114,6 +114,15 @@ def test_filter_never_counts_too_low():
     assert (f.levels(absent, bits, *at) > 0).mean() < 0.1
 
 
+def test_counts_beyond_32_bits_are_told_whole(spark):
+    import numpy as np
+
+    rows = [(0, 5, 8, np.array([7, 9], ">u8").tobytes(), np.array([2**32 - 1, 3], np.uint32).tobytes()), (0, 6, 8, np.array([7], ">u8").tobytes(), np.array([2**32 - 1], np.uint32).tobytes())]
+    told = lm_score.gather(spark.createDataFrame(rows, lm_score.COUNTED), lm_score.Filter(1), False).filter("chunk IS NOT NULL")
+    got = {r["chunk"]: (r["kind"], np.frombuffer(r["blob"], np.uint64).tolist()) for r in told.collect()}
+    assert got == {5: (4, [2**33 - 2, 3]), 6: (4, [2**33 - 2])}
+
+
 def labelled(spark, n=400, seed=2):
     rng, data, labels = random.Random(seed), [], []
     for i in range(n):
