@@ -55,6 +55,6 @@ def dedup(docs: DataFrame, spec: Spec = Spec(k=5, percent=80)) -> DataFrame:
     again = marks.filter(F.col(tag("kept")))
     if not again.take(1):
         return clear
-    one = F.row_number().over(W.partitionBy("doc_id", NODE).orderBy(F.xxhash64("text"))).alias("nth")
-    same = d.join(again, key, "left_semi").select("*", one).filter("nth = 1").select(*docs.columns)
+    one = F.row_number().over(W.partitionBy("doc_id", NODE).orderBy(F.xxhash64("text"))).alias(tag("nth"))
+    same = d.join(again, key, "left_semi").select("*", one).filter(F.col(tag("nth")) == 1).select(*docs.columns)
     return clear.unionByName(same)
