@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import bucket_count, conf_set, input_bytes, stash, unstash, utf8
 from .components import connected_components
-from .textops import LOWER, U64, Rolling, binary_parts, mix64, shingles, slices, word_spans
+from .textops import LOWER, U64, Rolling, binary_parts, mix64, release, shingles, slices, tidy, word_spans
 
 
 @dataclass(frozen=True)
@@ -231,7 +231,7 @@ def describe(docs: DataFrame, spec: Spec) -> DataFrame:
                 cols = [pa.array(kind), ids, pa.array(np.concatenate([n, count[keep]])), pa.array(np.concatenate([fp, many[keep].view(np.int64)])), pa.array([*(made[i] for i in same), *[None] * more], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["kind", "doc_id", "n", "node", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("b")).mapInArrow(run, "kind int, doc_id long, n long, node long, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("b")).mapInArrow(tidy(run), "kind int, doc_id long, n long, node long, sketch binary")
 
 
 def index(docs: DataFrame, spec: Spec, bands: list[Band], hot: np.ndarray, buckets: int) -> DataFrame:
@@ -286,8 +286,8 @@ def index(docs: DataFrame, spec: Spec, bands: list[Band], hot: np.ndarray, bucke
             yield flush()
 
     def meet(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [np.frombuffer(x.as_py(), np.int64).reshape(-1, 2) for b in batches for x in b.column("rows")]
-        rows = np.concatenate(parts)
+        release()
+        rows = np.concatenate([np.frombuffer(x.as_py(), np.int64).reshape(-1, 2) for b in batches for x in b.column("rows")])
         if key[0].as_py() < buckets:
             rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
             new = np.ones(len(rows), bool)
@@ -300,7 +300,7 @@ def index(docs: DataFrame, spec: Spec, bands: list[Band], hot: np.ndarray, bucke
             part = rows[lo : lo + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[:, i])) for i in range(2)], ["sig", "node"])
 
-    sent = docs.select(utf8("text").alias("b")).mapInArrow(send, "bucket long, rows binary")
+    sent = docs.select(utf8("text").alias("b")).mapInArrow(tidy(send), "bucket long, rows binary")
     return sent.groupBy("bucket").applyInArrow(meet, "sig long, node long").distinct()
 
 
@@ -320,7 +320,7 @@ def verify_pairs(pairs: DataFrame, spec: Spec) -> DataFrame:
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["u", "v"])
 
-    return pairs.mapInArrow(run, "u long, v long")
+    return pairs.mapInArrow(tidy(run), "u long, v long")
 
 
 def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, spec: Spec) -> list[tuple[int, int]]:
@@ -379,6 +379,7 @@ def verify_blocks(members: DataFrame, spec: Spec) -> DataFrame:
     """(cluster, side, text) to links (u, v) between the two sides of a cluster."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         sets, sides, seen = [], ([], []), {}
         for b in batches:
             data, offs = binary_parts(b.column("text"))
@@ -415,7 +416,7 @@ def may_link(pairs: DataFrame, spec: Spec) -> DataFrame:
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(tidy(run), "a long, b long")
 
 
 def compare_blocks(members: DataFrame, spec: Spec) -> DataFrame:
@@ -602,7 +603,7 @@ def compare_lists(groups: DataFrame, spec: Spec) -> DataFrame:
             found = np.unique(np.concatenate(out), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in (0, 1)], ["a", "b"])
 
-    return groups.mapInArrow(run, "a long, b long")
+    return groups.mapInArrow(tidy(run), "a long, b long")
 
 
 def with_node(docs: DataFrame, spec: Spec) -> DataFrame:
@@ -616,7 +617,7 @@ def with_node(docs: DataFrame, spec: Spec) -> DataFrame:
                 has = pa.array(np.diff(at) > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(fingerprints(s, at)).filter(has), b.column(0).slice(lo, hi - lo).filter(has)], ["node", "text"])
 
-    return docs.select(utf8("text").alias("b")).mapInArrow(run, "node long, text binary")
+    return docs.select(utf8("text").alias("b")).mapInArrow(tidy(run), "node long, text binary")
 
 
 def query(docs: DataFrame) -> DataFrame:

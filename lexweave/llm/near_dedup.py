@@ -17,7 +17,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import stash, unstash
 from .jaccard_join import Spec, fingerprints, jaccard_components, shingle_sets
-from .textops import binary_parts, slices
+from .textops import binary_parts, slices, tidy
 
 NODE = "__node_of_text__"
 
@@ -36,7 +36,7 @@ def with_node(docs: DataFrame, k: int) -> DataFrame:
                 out.append(pa.array(fingerprints(s, at), mask=np.diff(at) == 0))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.concat_arrays(out)], [*b.schema.names, NODE])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def dedup(docs: DataFrame, spec: Spec = Spec(k=5, percent=80)) -> DataFrame:

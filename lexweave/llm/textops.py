@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,26 @@ LOWER[0x41:0x5B] += 0x20
 _powers: dict[str, np.ndarray] = {}
 
 
+def release() -> None:
+    """Give memory that is free in this process back to the system; workers that wait for a task would keep it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A function over the batches of a task that releases memory at the task's end."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads every bit."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
@@ -43,7 +65,9 @@ class Rolling:
     def __init__(self, data: np.ndarray):
         p, self.q = _power(len(data))
         self.sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(TABLE[data] * p[: len(data)], out=self.sums[1:])
+        np.take(TABLE, data, out=self.sums[1:])
+        self.sums[1:] *= p[: len(data)]
+        np.cumsum(self.sums, out=self.sums)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         h = (self.sums[ends] - self.sums[starts]) * self.q[starts]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, stash, unstash, utf8
-from .textops import LOWER, U64, Rolling, binary_parts, mix64, slices, word_spans
+from .textops import LOWER, U64, Rolling, binary_parts, mix64, slices, tidy, word_spans
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 CUT = 0.7
@@ -189,7 +189,7 @@ def gram_counts(sample: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray]:
                     code, n = np.unique(np.concatenate([np.zeros(0, U64), *(once[d] for d in np.flatnonzero(kind[lo:hi] == k))]), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), k, np.int32)), pa.array(code.view(np.int64)), pa.array(n)], ["kind", "code", "n"])
 
-    got = sample.mapInArrow(run, "kind int, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n")).toArrow()
+    got = sample.mapInArrow(tidy(run), "kind int, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n")).toArrow()
     codes, inverse = np.unique(got["code"].to_numpy().view(U64), return_inverse=True)
     counts = np.zeros((len(codes), 4))
     np.add.at(counts, (inverse, got["kind"].to_numpy()), got["n"].to_numpy())
@@ -212,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, order: int =
             x = [np.where(b.column(1).to_numpy()[lo:hi] == 0, *(s.strongest(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]) for s in shared.value)) for lo, hi in slices(offs)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(x) if x else np.zeros(0))], ["toxic", "x"])
 
-    judged = sample.mapInArrow(run, "toxic int, x double").toArrow()
+    judged = sample.mapInArrow(tidy(run), "toxic int, x double").toArrow()
     shared.destroy()
     unstash(spark, sample)
     return Scorer(model(counts.sum(1)), best_threshold(judged["x"].to_numpy(), judged["toxic"].to_numpy()), least=least)
@@ -239,7 +239,7 @@ def score_texts(docs: DataFrame, scorer: Scorer) -> DataFrame:
             s = shared.value.batch(b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= CUT).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), utf8("text").alias("b")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), utf8("text").alias("b")).mapInArrow(tidy(run), SCHEMA)
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -255,4 +255,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(shared.value.batch(b.column(place)) < CUT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
