@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import arrays
-from .operators import joins, orders, qgrams, rewrite
+from .operators import distances, joins, orders, qgrams, rewrite
 from .operators.verify import verify
 from .plans import generate, planner, quality, registry, statistics, sweep
 from .plans.spec import JoinSpec, Params
@@ -184,17 +184,7 @@ FROM lcs JOIN recs a ON a.id = id1 JOIN recs b ON b.id = id2 JOIN coded p ON p.i
         "kinds",
     ),
 )
-
-
-def _all_distances(spark: SparkSession, d: str, kind: str) -> DataFrame:
-    k = records(spark, d, kind)
-    m = k.select("id", F.size("toks").alias("min_len"), F.size("toks").alias("max_len"))
-    longest = int(m.agg(F.max("max_len")).first()[0] or 0)
-    pairs = joins.pairs_by_length(m, k, longest, longest)
-    return _measured(pairs.join(k.select(F.col("id").alias("id1"), F.col("toks").alias("x")), "id1").join(k.select(F.col("id").alias("id2"), F.col("toks").alias("y")), "id2"))
-
-
-add_items("array_distances", _all_distances, False)
+add_items("array_distances", lambda spark, d, kind: distances.all_pairs(records(spark, d, kind)), False)
 
 # rules
 add("rule_match", lambda spark, d: rewrite.applicable(records(spark, d), rules(spark)).select("id", F.col("start").cast("long").alias("start"), F.col("n").cast("long").alias("n"), joined("lhs").alias("lhs"), joined("rhs").alias("rhs")), sql("SELECT DISTINCT id, start, CAST(n AS BIGINT) AS n, array_to_string(lhs, ' ') AS lhs, array_to_string(rhs, ' ') AS rhs FROM grams JOIN rules USING (lhs)"))
